@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from moraine.llm import line_dedup, mixing
+from moraine.llm import line_dedup, mixing, simhash, substring_dedup
 
 QUERIES = {
     "op5_mix_sources": mixing.query,
+    "op6_substring_dedup": substring_dedup.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_simhash_near_dedup": simhash.query,
 }
 
 ORACLES = {
     "op5_mix_sources": mixing.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
 }
