@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from moraine.llm import line_dedup, mixing, simhash, substring_dedup
+from moraine.llm import line_dedup, mixing, simhash, substring_dedup, token_counts
 
 QUERIES = {
+    "op4_token_counts": token_counts.query,
     "op5_mix_sources": mixing.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_line_dedup": line_dedup.query,
