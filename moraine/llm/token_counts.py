@@ -36,7 +36,7 @@ class PreTokens:
     """Pre-tokens of a text and their numbers of pieces, for a tokenizer of the `tokenizers` library with a BPE over byte-level pre-tokens."""
 
     #: The tokenizer's own pre-token pattern, with white space spelled out.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+"
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
