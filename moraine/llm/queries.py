@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moraine.llm import line_dedup, mixing, simhash, substring_dedup, token_counts
+from moraine.llm import line_dedup, mixing, secrets, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op4_token_counts": token_counts.query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_simhash_near_dedup": simhash.query,
+    "op10_secret_scan": secrets.query,
 }
 
 ORACLES = {
     "op5_mix_sources": mixing.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op10_secret_scan": secrets.SQL,
 }
