@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from moraine.llm import line_dedup, mixing, secrets, simhash, substring_dedup, token_counts
+from moraine.llm import line_dedup, mixing, pii, secrets, simhash, substring_dedup, token_counts
 
 QUERIES = {
+    "op3_pii_surrogates": pii.query,
     "op4_token_counts": token_counts.query,
     "op5_mix_sources": mixing.query,
     "op6_substring_dedup": substring_dedup.query,
