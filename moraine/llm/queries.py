@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from moraine.llm import line_dedup, mixing, pii, secrets, simhash, substring_dedup, token_counts
+from moraine.llm import embedding_dedup, line_dedup, mixing, pii, secrets, simhash, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_embedding_near_dedup": embedding_dedup.query,
     "op3_pii_surrogates": pii.query,
     "op4_token_counts": token_counts.query,
     "op5_mix_sources": mixing.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_embedding_near_dedup": embedding_dedup.SQL,
     "op5_mix_sources": mixing.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
