@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moraine.llm.common import BLANKS, lower_ascii, read
+from moraine.llm.common import BLANKS, fresh, lower_ascii, read
 
 SALTS = 16
 
@@ -53,7 +53,7 @@ def drop_bitmaps(dropped: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
-    """docs' columns (text without the dropped lines) behind which n_lines, n_dropped and bits (sparse drop bitmap) follow as a struct `line_dedup`."""
+    """docs' columns (text without the dropped lines) behind which n_lines, n_dropped and bits (sparse drop bitmap) follow as a struct `line_dedup` (`_line_dedup` if docs has that name)."""
     work = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in docs.columns if c not in (doc_id, text)]).alias("own") if len(docs.columns) > 2 else F.lit(1).alias("own"), F.col(text).isNull().alias("was_null"))
     bits = drop_bitmaps(dropped_lines(work.select("id", "row", "text"), min_chars)).withColumnsRenamed({"id": "b_id", "row": "b_row"})
     j = work.join(bits, work["id"].eqNullSafe(bits["b_id"]) & (work["row"] == bits["b_row"]), "left")
@@ -62,7 +62,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     new = F.when(F.col("bits").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     info = F.struct(F.size(split).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.col("bits"))
     back = [F.col("id").alias(c) if c == doc_id else F.when(F.col("was_null") & F.col("bits").isNull(), F.lit(None).cast("string")).otherwise(new).alias(c) if c == text else F.col("own").getField(c).alias(c) for c in docs.columns]
-    return j.select(*back, info.alias("line_dedup"))
+    return j.select(*back, info.alias(fresh(docs, "line_dedup")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import cut, read
+from moraine.llm.common import cut, fresh, read
 from moraine.llm.components import components, forest
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 3, 3, 42
@@ -141,6 +141,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return fps.join(every, fps["fp"] == every["c_fp"]).select("id", "fp", "component")
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs' rows and columns, of each group of near duplicates only the document with the smallest id (of rows that share it, one)."""
+    found = cut(near_duplicates(docs, doc_id, text))
+    kept = found.where("id = component OR id IS NULL AND component IS NULL").select(F.col("id").alias("kept_id")).distinct()
+    key = fresh(docs, "kept_id")
+    kept = kept.withColumnRenamed("kept_id", key)
+    out = docs.join(kept, docs[doc_id].eqNullSafe(kept[key]), "left_semi")
+    repeated = not found.groupBy("id").count().where("count > 1").isEmpty()
+    return out.dropDuplicates([doc_id]) if repeated else out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(read(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
