@@ -70,7 +70,7 @@ class FileStore:
         if len(paths) <= FEW:
             with ThreadPoolExecutor(THREADS) as pool:
                 return dict(zip(paths, pool.map(self.read, paths), strict=True))
-        rows = self.spark.read.option("wholetext", True).text([self.full(p) for p in paths]).select("value", "_metadata.file_path").collect()
+        rows = self.spark.read.text([self.full(p) for p in paths], wholetext=True).select("value", "_metadata.file_path").collect()
         names = {p.rsplit("/", 1)[-1]: p for p in paths}
         return {names[r.file_path.rsplit("/", 1)[-1]]: r.value for r in rows}
 
