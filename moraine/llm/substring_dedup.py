@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.llm.common import read
-from moraine.llm.wordscan import Words, scan, windows
+from moraine.llm.wordscan import Words, runs, scan, windows
 
 WINDOW, BLOCK = 20, 10
 #: Documents a group has at most if ids are not repeated; documents whose blocks share a hash range.
@@ -64,8 +64,7 @@ def _anchors(w: Words, h: np.ndarray, bits: int, block: int) -> tuple[np.ndarray
 def _by_range(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Sorted keys by hash range."""
     top = (keys >> _U(32)).astype(np.int64)
-    edge = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(keys) else []
-    for a, b in zip(edge, [*edge[1:], len(keys)], strict=True):
+    for a, b in runs(top):
         yield int(top[a]), keys[a:b].astype(np.uint32)
 
 
@@ -120,8 +119,7 @@ def _answer(t: pa.Table, owner: np.ndarray, value: np.ndarray, more: np.ndarray
     owner, value = owner[order], value[order]
     more = None if more is None else more[order]
     g, r = t.column("g").to_pylist(), t.column("r")[0].as_py()
-    edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else []
-    return _table([(g[owner[i]], r, value[i:j].tobytes(), b"" if more is None else more[i:j].tobytes()) for i, j in zip(edge, [*edge[1:], len(owner)], strict=True)], _BACK)
+    return _table([(g[owner[i]], r, value[i:j].tobytes(), b"" if more is None else more[i:j].tobytes()) for i, j in runs(owner)], _BACK)
 
 
 def _full(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,8 +155,7 @@ def _extend(bits: int, block: int, window: int):
         x = (x[first] >> _U(32)).astype(np.uint32)
         g = t.column("g")[0].as_py()
         top = (a >> _U(64 - bits)).astype(np.int64)
-        edge = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(a) else []
-        return _table([(int(top[i]), g, a[i:j].tobytes(), x[i:j].tobytes()) for i, j in zip(edge, [*edge[1:], len(a)], strict=True)], _SENT)
+        return _table([(int(top[i]), g, a[i:j].tobytes(), x[i:j].tobytes()) for i, j in runs(top)], _SENT)
 
     return run
 

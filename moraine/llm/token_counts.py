@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.llm.common import read
+from moraine.llm.wordscan import runs
 
 #: A chunk ends at so many documents, distinct pre-tokens or bytes of text.
 CHUNK_DOCS, CHUNK_TOKENS, CHUNK_BYTES = 512, 60_000, 8 << 20
@@ -121,8 +122,7 @@ class _Chunk:
         none = [None] * 8
         out = [(name, name, None, ids.tobytes(), nulls.tobytes(), np.array(self.bytes, np.int64).tobytes(), np.array(self.special, np.int32).tobytes(), np.array(self.edge, np.int32).tobytes(), index.tobytes(), freq.tobytes())]
         sorted_r = r[order]
-        edge = np.flatnonzero(np.r_[True, sorted_r[1:] != sorted_r[:-1]]) if len(tokens) else []
-        for a, b in zip(edge, [*edge[1:], len(tokens)], strict=True):
+        for a, b in runs(sorted_r):
             out.append((int(sorted_r[a]), name, "\n".join([tokens[i] for i in order[a:b]]), *none[:7]))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SENT.types, strict=True)], schema=_SENT)
 

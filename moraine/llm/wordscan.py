@@ -121,3 +121,11 @@ def windows(h: np.ndarray, n: int, salt: int) -> np.ndarray:
         return done[k]
 
     return run(n)
+
+
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values; none if there are no values."""
+    if not len(values):
+        return []
+    edge = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist()
+    return list(zip(edge, [*edge[1:], len(values)], strict=True))
