@@ -18,6 +18,8 @@ from moraine.llm.common import cut, fresh, n_words, read
 
 #: A table of so many sources still counts as small enough to broadcast (about 100 bytes a row).
 BROADCAST_SOURCES = 100_000
+#: Columns that a plan adds.
+PLAN = ("size", "source_size", "target", "copies")
 
 
 def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
@@ -50,9 +52,8 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: int = 0) -> DataFrame:
-    """docs with size, source_size, target and copies (how often the mix takes the document) as further columns."""
-    clash = {c.lower() for c in docs.columns} & {"size", "source_size", "target", "copies"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in clash])
+    """docs with size, source_size, target and copies (how often the mix takes the document) as further columns, in place of docs' own of these names."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in PLAN])
     sized = docs.withColumn("size", n_words(F.col(text)))
     key = fresh(sized, "mix_source")
     targets = cut(source_targets(sized.select(F.col(source).alias(key), "size"), key, "size", weights, max_repeat))
@@ -66,14 +67,11 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: docs' own rows and columns, each row as often as the mix takes it."""
-    plan = mix_plan(docs, **options)
-    kept = [c for c in docs.columns if c in plan.columns]
-    n = fresh(docs, "copy_no")
-    lost = [c for c in docs.columns if c not in kept]
+    lost = [c for c in docs.columns if c.lower() in PLAN]
     if lost:  # columns of docs that share a name with one of the plan
-        renamed = docs.withColumnsRenamed({c: f"own_{c}_{i}" for i, c in enumerate(lost)})
-        back = {f"own_{c}_{i}": c for i, c in enumerate(lost)}
-        return mix(renamed, **options).withColumnsRenamed(back).select(*docs.columns)
+        apart = {c: fresh(docs, f"own_{i}") for i, c in enumerate(lost)}
+        return mix(docs.withColumnsRenamed(apart), **options).withColumnsRenamed({v: k for k, v in apart.items()}).select(*docs.columns)
+    plan, n = mix_plan(docs, **options), fresh(docs, "copy_no")
     return plan.where("copies > 0").withColumn(n, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
