@@ -5,8 +5,10 @@ Each builds tables of its own below the workspace, does what it is named for, an
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from moraine.functions import expressions as E
 from moraine.functions.schema import SchemaConflict
 from moraine.operators import recipes
 from moraine.operators.table import MergeTable
+from moraine.operators.views import table_function
 from moraine.sources.workspace import workspace
 from moraine.streaming.sink import TableSink
 
@@ -387,3 +390,25 @@ def cube_over_snapshot(spark, d):
     t = events_table(spark)
     t.insert_df(raw(spark, d, "events"))
     return t.read().cube("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n FROM events WHERE ts >= '2024-01-03' AND ts < '2024-01-08' GROUP BY event_type")
+def table_macro_range(spark, d):
+    t = events_table(spark)
+    t.insert_df(raw(spark, d, "events"))
+    table_function(t, "moraine_range")
+    return spark.sql("SELECT event_type, count(*) AS n FROM moraine_range(first => 'd=2024-01-03', last => 'd=2024-01-07') GROUP BY event_type")
+
+
+@query("SELECT event_id, user_id, 'k' AS tag FROM events WHERE len(props) > 8")
+def scalar_udf(spark, d):
+    t = events_table(spark)
+    t.insert_df(raw(spark, d, "events"))
+    t.create_view("moraine_udf_events")
+
+    @F.pandas_udf("array<string>")
+    def keys_of(props: pd.Series) -> pd.Series:
+        return props.map(lambda p: [k for k in json.loads(p)] if p else [])
+
+    spark.udf.register("keys_of", keys_of)
+    return spark.sql("SELECT event_id, user_id, keys_of(props)[0] AS tag FROM moraine_udf_events WHERE length(props) > :n", args={"n": 8})

@@ -13,6 +13,7 @@ from moraine.operators import recipes
 from moraine.operators.partitioning import Partitioning
 from moraine.operators.queries import rename_view, row_wise
 from moraine.operators.table import MergeTable
+from moraine.operators.views import table_function
 from moraine.sources import outputs
 from moraine.sources.log import NoSnapshotError
 from moraine.streaming.sink import TableSink
@@ -229,6 +230,16 @@ def test_stream_delivers_once(spark, tmp_path):
     assert raw.read().count() == view.read().count() == 9
 
 
+def test_table_function(spark, tmp_path):
+    t = table(spark, tmp_path)
+    t.insert(ROWS)
+    table_function(t, "lifecycle")
+    q = spark.sql("SELECT user_id, count(*) AS n FROM lifecycle(first => 'cust=test/d=2023-03') GROUP BY 1").collect()
+    assert [tuple(r) for r in q] == [("a", 2)]
+    assert spark.sql("SELECT * FROM lifecycle()").count() == 3
+    assert spark.sql("SELECT * FROM lifecycle(last => :d)", args={"d": "cust=test/d=2023-03"}).count() == 1
+
+
 def test_outputs(spark):
     df = spark.createDataFrame([(1, "x")], "a long, b string")
     assert outputs.to_csv(df) == "a,b\n1,x\n" and "|1  |x  |" in outputs.to_text(df)
