@@ -9,7 +9,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import expressions as E
@@ -412,3 +412,31 @@ def scalar_udf(spark, d):
 
     spark.udf.register("keys_of", keys_of)
     return spark.sql("SELECT event_id, user_id, keys_of(props)[0] AS tag FROM moraine_udf_events WHERE length(props) > :n", args={"n": 8})
+
+
+@query("SELECT user_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def window_latest(spark, d):
+    t = events_table(spark)
+    t.insert_df(raw(spark, d, "events"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return t.read().withColumn("rank", F.row_number().over(w)).where("rank = 1").select("user_id", "event_type", "ts")
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE value > 300")
+def set_operations(spark, d):
+    t = events_table(spark)
+    t.insert_df(raw(spark, d, "events"))
+    e = t.read()
+    users = lambda test: e.where(test).select("user_id")
+    return users("event_type = 'click'").intersect(users("event_type = 'purchase'")).subtract(users("value > 300"))
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS ordered FROM customer")
+def semi_and_anti_joins(spark, d):
+    orders = by_month(spark, "o_orderdate")
+    orders.insert_df(raw(spark, d, "orders"))
+    customers = MergeTable(spark, workspace(spark), {"segment": "c_mktsegment"}, ["c_custkey"])
+    customers.insert_df(raw(spark, d, "customer"))
+    c, o = customers.read(), orders.read().select("o_custkey")
+    on = F.col("c_custkey") == F.col("o_custkey")
+    return c.join(o, on, "left_semi").select("c_custkey", F.lit(True).alias("ordered")).unionByName(c.join(o, on, "left_anti").select("c_custkey", F.lit(False).alias("ordered")))
