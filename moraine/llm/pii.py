@@ -16,6 +16,8 @@ as good as any; an empty table gives an empty result; texts are taken whole. Tex
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +63,18 @@ PATTERNS = {
 }
 
 
-def _joined() -> str:
-    """All patterns as one; the card's back reference is spelled out as alternatives, as numbers shift in a joint pattern."""
+def _joined(*names: str) -> str:
+    """Patterns as one; the card's back reference is spelled out as alternatives, as numbers shift in a joint pattern."""
     card = r"(?<![\d.+-])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,19})(?!\d|[.-]\d)"
-    return "|".join(card if n == "card" else p for n, p in PATTERNS.items())
+    return "|".join(card if n == "card" else PATTERNS[n] for n in names)
 
 
-ENTITY = _joined()
+_STARTS = "".join(sorted({t[0] for t in MALE + FEMALE + EITHER}))
+#: All entities; all but mail addresses, which can only start with a digit, a sign or a title's first letter, so that other
+#: places are passed over at once; and titles alone.
+ENTITY = _joined(*PATTERNS)
+NO_MAIL = rf"(?=[{_STARTS}\d+(])(?:{_joined(*[n for n in PATTERNS if n != 'email'])})"
+TITLED = rf"(?=[{_STARTS}])(?:{_joined('name')})"
 #: Kinds of digits only, told apart by layout once a hit is known to be an entity.
 _KIND = (("email", "@"), ("name", r"^\p{L}"), ("ip", r"^\d{1,3}(?:\.\d{1,3}){3}$"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"), ("card", r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})$"))
 
@@ -88,29 +95,47 @@ def _gender(hit: Column) -> Column:
     return F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("x")
 
 
-def units(hit: Column) -> Column:
+def bind(value: Column, use) -> Column:
+    """use(value), with value computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def units(hit: Column, kind: Column) -> Column:
     """array<struct<kind, canon>>: what has to be replaced in a hit. A name's words are units of their own, the last one a surname."""
-    kind = kind_of(hit)
-    digits = F.regexp_replace(hit, r"\D", "")
     code = F.regexp_extract(hit, r"^\+(\d{1,3})(?=\D)", 1)
-    canon = F.when(kind == "email", F.lower(hit)).when(kind == "phone", F.concat(code, F.lit("-"), F.substring(digits, F.length(code) + 1, F.length(digits)))).when(kind == "ip", hit).otherwise(digits)
-    words = F.split(F.regexp_replace(hit, r"^\p{L}+\.? ", ""), " ")
+    digits = F.regexp_replace(hit, r"\D", "")
+
+    def phone(c: Column) -> Column:
+        return bind(F.regexp_replace(hit, r"\D", ""), lambda d: F.concat(c, F.lit("-"), F.substring(d, F.length(c) + 1, F.length(d))))
+
+    canon = F.when(kind == "email", F.lower(hit)).when(kind == "phone", bind(code, phone)).when(kind == "ip", hit).otherwise(digits)
 
-    def of_word(w: Column, i: Column) -> Column:
-        last = i == F.size(words) - 1
-        # A surname is one and the same for both genders where its ending is.
-        sex = F.when(~last | (_script(w) == "cyrillic"), _gender(hit)).otherwise("")
-        return F.struct(F.concat(F.when(last, "surname").otherwise("given"), F.lit("."), _script(w), F.lit("."), sex).alias("kind"), F.lower(w).alias("canon"))
+    def words_of(words: Column) -> Column:
+        def of_word(w: Column, i: Column) -> Column:
+            def named(script: Column) -> Column:
+                # A surname is one and the same for both genders where its ending is.
+                sex = F.when((i < F.size(words) - 1) | (script == "cyrillic"), _gender(hit)).otherwise("")
+                return F.struct(F.concat_ws(".", F.when(i < F.size(words) - 1, "given").otherwise("surname"), script, sex).alias("kind"), F.lower(w).alias("canon"))
 
-    return F.when(kind == "name", F.transform(words, of_word)).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
+            return bind(_script(w), named)
+
+        return F.transform(words, of_word)
+
+    words = F.split(F.regexp_replace(hit, r"^\p{L}+\.? ", ""), " ")
+    return F.when(kind == "name", bind(words, words_of)).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
 
 
 def _byte(h: Column, i: Column) -> Column:
     return F.conv(F.substring(h, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 64).cast("int") * 7
 
 
-def _pick(options: tuple[str, ...], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), F.pmod(n, F.lit(len(options))).cast("int") + 1)
+def _parts() -> Column:
+    """kind of a name -> (first halves, second halves) of its surrogates."""
+    both = {f"given.{script}.{sex}": [list(names), [""]] for (script, sex), names in GIVEN.items()}
+    for script, roots in ROOTS.items():
+        for sex in ("", "m", "f", "x"):
+            both[f"surname.{script}.{sex}"] = [list(roots), list(ENDS.get((script, sex)) or ENDS.get((script, "")) or ENDS[script, "m"])]
+    return F.from_json(F.lit(json.dumps(both)), "map<string,array<array<string>>>")
 
 
 def _luhn(digits: Column) -> Column:
@@ -124,60 +149,85 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+def surrogate(unit: Column, attempt: Column, key: str) -> Column:
     """The canonical form of a unit's replacement: a function of the unit, the key and how often it has drawn before."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 512)
+    drawn = F.struct(unit["kind"].alias("kind"), unit["canon"].alias("canon"), attempt.alias("attempt"), F.sha2(F.concat_ws("|", F.lit(key), unit["kind"], unit["canon"], attempt.cast("string")), 512).alias("h"))
+    return bind(drawn, _surrogate)
+
+
+def _surrogate(u: Column) -> Column:
+    kind, canon, attempt, h = u["kind"], u["canon"], u["attempt"], u["h"]
 
     def shape(text: Column, keep: Column) -> Column:
         """Digits and letters from text's own kinds; the first `keep` characters stay."""
 
         def one(i: Column) -> Column:
-            c, b = F.substring(text, i + 1, F.lit(1)), _byte(h, i)
-            letter = F.chr(F.lit(97) + F.pmod(b, F.lit(26)))
-            return F.when(i < keep, c).when(c.rlike("[0-9]"), F.pmod(b, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), letter).otherwise(c)
+            c = F.substring(text, i + 1, F.lit(1))
+            letter = F.chr(F.lit(97) + F.pmod(_byte(h, i), F.lit(26)))
+            return F.when(i < keep, c).when(c.rlike("[0-9]"), F.pmod(_byte(h, i), F.lit(10)).cast("string")).when(c.rlike("[a-z]"), letter).otherwise(c)
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), "")
 
-    at = F.instr(canon, "@")
     # A mail address keeps its top-level domain.
-    tld = F.regexp_extract(canon, r"\.[a-z]+$", 0)
-    email = F.concat(shape(F.substring(canon, F.lit(1), F.length(canon) - F.length(tld)), F.lit(0)), tld)
+    email = bind(F.regexp_extract(canon, r"\.[a-z]+$", 0), lambda tld: F.concat(shape(F.substring(canon, F.lit(1), F.length(canon) - F.length(tld)), F.lit(0)), tld))
     ip = F.concat_ws(".", *[(F.pmod(_byte(h, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
-    body = shape(F.substring(canon, F.lit(1), F.length(canon) - 1), F.lit(1))
-    check = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    last = F.when(_luhn(canon) % 10 == 0, check).otherwise(F.pmod(check + 1 + F.pmod(_byte(h, F.lit(60)), F.lit(9)), F.lit(10)))
-    card = F.concat(body, last.cast("string"))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", shape(canon, F.instr(canon, "-"))).when(kind == "ssn", shape(canon, F.lit(0)))
-    number = [_byte(h, F.lit(2 * i)) * 256 + _byte(h, F.lit(2 * i + 1)) for i in range(12)]
-    for script, roots in ROOTS.items():
-        for sex in ("m", "f", "x", ""):
-            ends = ENDS.get((script, sex)) or ENDS.get((script, "")) or ENDS[script, "m"]
-            part = [F.concat(_pick(roots, number[2 * i]), _pick(ends, number[2 * i + 1])) for i in range(4)]
-            # After every four draws a surname gets one more part, so there is always room.
-            sur = F.concat_ws("-", part[0], *[F.when(attempt >= 4 * i, part[i]) for i in range(1, 4)], F.when(attempt >= 16, attempt.cast("string")))
-            out = out.when(kind == f"surname.{script}.{sex}", F.lower(sur))
-            if sex:
-                names = GIVEN[script, sex]
-                given = F.concat_ws("-", _pick(names, number[0]), *[F.when(attempt >= 2 * i, _pick(names, number[i])) for i in range(1, 6)], F.when(attempt >= 16, attempt.cast("string")))
-                out = out.when(kind == f"given.{script}.{sex}", F.lower(given))
-    return out
 
+    def card(body: Column) -> Column:
+        def last(check: Column) -> Column:
+            return F.when(_luhn(canon) % 10 == 0, check).otherwise(F.pmod(check + 1 + F.pmod(_byte(h, F.lit(60)), F.lit(9)), F.lit(10)))
+
+        return F.concat(body, bind(F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10)), last).cast("string"))
+
+    digits = bind(shape(F.substring(canon, F.lit(1), F.length(canon) - 1), F.lit(1)), card)
+
+    def number(i: Column) -> Column:
+        return _byte(h, i * 2) * 256 + _byte(h, i * 2 + 1)
+
+    def pick(options: Column, n: Column) -> Column:
+        return F.element_at(options, F.pmod(n, F.size(options)).cast("int") + 1)
+
+    def name(parts: Column) -> Column:
+        # After some draws a name gets one more part, so there is always room.
+        n = F.least(F.lit(8), F.when(F.startswith(kind, F.lit("given")), F.floor(attempt / 2)).otherwise(F.floor(attempt / 4)) + 1).cast("int")
+        joined = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(pick(parts[0], number(i * 2)), pick(parts[1], number(i * 2 + 1)))), "-")
+        return F.lower(F.concat_ws("-", joined, F.when(attempt >= 24, attempt.cast("string"))))
+
+    named = bind(F.element_at(_parts(), kind), name)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", digits).when(kind == "phone", shape(canon, F.instr(canon, "-"))).when(kind == "ssn", shape(canon, F.lit(0))).otherwise(named)
 
-def render(hit: Column, replaced: Column) -> Column:
+
+def render(hit: Column, kind: Column, replaced: Column) -> Column:
     """hit rewritten with the surrogates of its units (array<string>), in the layout and letter case of hit."""
-    kind, one = kind_of(hit), replaced[0]
-    digits = F.regexp_replace(one, r"\D", "")
-    seen = F.transform(F.sequence(F.lit(1), F.length(hit)), lambda i: F.length(F.regexp_replace(F.substring(hit, F.lit(1), i), r"\D", "")))
-    laid = F.array_join(F.transform(F.sequence(F.lit(1), F.length(hit)), lambda i: F.when(F.substring(hit, i, F.lit(1)).rlike("[0-9]"), F.substring(digits, F.element_at(seen, i), F.lit(1))).otherwise(F.substring(hit, i, F.lit(1)))), "")
-    cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(hit)), lambda i: F.when(F.substring(hit, i, F.lit(1)).rlike("[A-Z]"), F.upper(F.substring(one, i, F.lit(1)))).otherwise(F.substring(one, i, F.lit(1)))), "")
+    each = F.sequence(F.lit(1), F.length(hit))
+
+    def laid(digits: Column) -> Column:
+        def one(i: Column) -> Column:
+            at = F.length(F.regexp_replace(F.substring(hit, F.lit(1), i), r"\D", ""))
+            return bind(F.substring(hit, i, F.lit(1)), lambda c: F.when(c.rlike("[0-9]"), F.substring(digits, at, F.lit(1))).otherwise(c))
+
+        return F.array_join(F.transform(each, one), "")
+
+    def cased(one: Column) -> Column:
+        return F.array_join(F.transform(each, lambda i: F.when(F.substring(hit, i, F.lit(1)).rlike("[A-Z]"), F.upper(F.substring(one, i, F.lit(1)))).otherwise(F.substring(one, i, F.lit(1)))), "")
+
     title = F.regexp_extract(hit, r"^\p{L}+\.? ", 0)
     words = F.split(F.regexp_replace(hit, r"^\p{L}+\.? ", ""), " ")
     named = F.array_join(F.zip_with(words, replaced, lambda w, r: F.when((F.upper(w) == w) & (F.length(w) > 1), F.upper(r)).otherwise(F.array_join(F.transform(F.split(r, "-"), lambda p: F.initcap(p)), "-"))), " ")
-    return F.when(kind == "email", cased).when(kind == "name", F.concat(title, named)).when(kind == "ip", one).otherwise(laid)
+    return F.when(kind == "email", bind(replaced[0], cased)).when(kind == "name", F.concat(title, named)).when(kind == "ip", replaced[0]).otherwise(bind(F.regexp_replace(replaced[0], r"\D", ""), laid))
+
 
+def with_hits(docs: DataFrame) -> DataFrame:
+    """docs (with a column text) and their hits in order; gaps, the text between them, if there are any.
 
-def _hits(text: Column) -> Column:
-    return F.when(text.rlike(ENTITY), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    Cheap tests come first: most texts have neither a digit nor a title nor a mail address, and are not searched further.
+    """
+    text = F.col("text")
+    mail = F.contains(text, F.lit("@"))
+    other = text.rlike("[0-9]") | text.rlike(TITLED)
+    hits = F.when(mail, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).when(other, F.regexp_extract_all(text, F.lit(NO_MAIL), F.lit(0)))
+    gaps = F.when(mail, F.split(text, ENTITY, -1)).when(other, F.split(text, NO_MAIL, -1))
+    found = docs.withColumn("hits", F.coalesce(hits, F.array().cast("array<string>")))
+    return found.withColumn("gaps", F.when(F.size("hits") > 0, gaps))
 
 
 def drawn_again(found: DataFrame, key: str, rounds: int = 64) -> DataFrame:
@@ -185,7 +235,7 @@ def drawn_again(found: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     real = cut(found.where("canon IS NOT NULL").distinct())
     state = real.withColumn("attempt", F.lit(0))
     for _ in range(rounds):
-        named = state.withColumn("s", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        named = state.withColumn("s", surrogate(F.struct("kind", "canon"), F.col("attempt"), key))
         shared = named.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k1"), F.col("s").alias("s1"), "first")
         taken = real.select(F.col("kind").alias("k2"), F.col("canon").alias("s2"), F.lit(True).alias("taken"))
         j = named.join(shared, (named["kind"] == shared["k1"]) & (named["s"] == shared["s1"]), "left").join(taken, (named["kind"] == taken["k2"]) & (named["s"] == taken["s2"]), "left")
@@ -200,7 +250,8 @@ def drawn_again(found: DataFrame, key: str, rounds: int = 64) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text with surrogates, entities: array of kinds in order), a row for each row of docs."""
     d = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text"))
-    found = d.select("id", "row", F.explode(_hits(F.col("text"))).alias("hit")).select("id", "row", F.explode(units(F.col("hit"))).alias("u")).select("id", "row", "u.kind", "u.canon")
+    kinds = F.transform("hits", lambda x: F.struct(x.alias("hit"), kind_of(x).alias("kind")))
+    found = with_hits(d).select("id", "row", F.explode(kinds).alias("x")).select("id", "row", F.explode(units(F.col("x.hit"), F.col("x.kind"))).alias("u")).select("id", "row", "u.kind", "u.canon")
     again = drawn_again(found.select("kind", "canon"), key)
     if again.isEmpty():
         work = d.withColumn("again", F.lit(None).cast("map<string,int>"))
@@ -208,17 +259,16 @@ def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "
         of_doc = found.distinct().join(again, ["kind", "canon"]).groupBy("id", "row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("again")).withColumnsRenamed({"id": "a_id", "row": "a_row"})
         work = d.join(of_doc, d["id"].eqNullSafe(of_doc["a_id"]) & (d["row"] == of_doc["a_row"]), "left").select("id", "row", "text", "again")
 
-    def swap(hit: Column) -> Column:
+    def replaced(x: Column) -> Column:
         def one(u: Column) -> Column:
             attempt = F.coalesce(F.try_element_at("again", F.concat_ws("|", u["kind"], u["canon"])), F.lit(0))
-            return surrogate(u["kind"], u["canon"], attempt, key)
+            return surrogate(u, attempt, key)
 
-        return render(hit, F.transform(units(hit), one))
+        return F.struct(x["hit"].alias("hit"), x["kind"].alias("kind"), F.transform(units(x["hit"], x["kind"]), one).alias("new"))
 
-    hits = _hits(F.col("text"))
-    new = F.array_join(F.transform(F.arrays_zip(F.split("text", ENTITY, -1).alias("gap"), hits.alias("hit")), lambda x: F.concat(x["gap"], F.when(x["hit"].isNotNull(), swap(x["hit"])).otherwise(""))), "")
-    has = F.col("text").rlike(ENTITY)
-    return work.select(F.col("id").alias("doc_id"), F.when(has, new).otherwise(F.col("text")).alias("text"), F.coalesce(F.transform(hits, lambda x: kind_of(x)), F.array().cast("array<string>")).alias("entities"))
+    work = with_hits(work).withColumn("hits", F.when(F.size("hits") > 0, F.transform(kinds, replaced)))
+    new = F.array_join(F.zip_with("gaps", "hits", lambda g, x: F.concat(g, F.when(x.isNull(), "").otherwise(render(x["hit"], x["kind"], x["new"])))), "")
+    return work.select(F.col("id").alias("doc_id"), F.when(F.col("hits").isNull(), F.col("text")).otherwise(new).alias("text"), F.coalesce(F.transform("hits", lambda x: x["kind"]), F.array().cast("array<string>")).alias("entities"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
