@@ -28,7 +28,7 @@ from moraine.llm.common import cut, read
 from moraine.llm.components import components, forest
 
 #: Filters a vector is in on average, and at least; the longest list compared in one go; pairs whose common filters are looked up at once.
-MEAN, LEAST, SPLIT, CHUNK = 14, 8, 1024, 1 << 14
+MEAN, LEAST, SPLIT, CHUNK = 10, 16, 1024, 1 << 14
 SEED = 7
 
 
@@ -69,6 +69,11 @@ class ProductCode:
         return out
 
 
+def _kind(side: int) -> type:
+    """Of a filter's number in lists."""
+    return np.int32 if side * side < 2**31 else np.int64
+
+
 def _emit(side: int):
     codes: dict[int, ProductCode] = {}
 
@@ -86,8 +91,10 @@ def _emit(side: int):
                     lists = codes[dim].decode(unit)
                     n = [len(x) for x in lists]
                     rep = np.repeat(np.arange(len(n)), n)
-                    packed = pa.array([x.astype(np.int64).tobytes() for x in lists]).take(pa.array(rep))
-                    vec = pa.array([x.tobytes() for x in v]).take(pa.array(rep))
+                    packed = pa.array([x.astype(_kind(side)).tobytes() for x in lists]).take(pa.array(rep))
+                    # Components that came as single precision travel as such.
+                    single = v.astype(np.float32)
+                    vec = pa.array([x.tobytes() for x in (single if (single == v).all() else v)]).take(pa.array(rep))
                     yield pa.RecordBatch.from_arrays([rows.column("label").take(pa.array(rep)), pa.array(np.full(len(rep), dim, np.int32)), pa.array(np.concatenate(lists).astype(np.int64)), rows.column("id").take(pa.array(rep)), rows.column("n").take(pa.array(rep)), packed, vec], names=["label", "dim", "filter", "id", "n", "filters", "vec"])
 
     return run
@@ -109,8 +116,8 @@ def _owned(at: int, lists: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarr
     return out
 
 
-def _verify(threshold: float):
-    def group(at: int, same: bool, ids, n, side, lists, v):
+def _verify(threshold: float, side: int):
+    def group(at: int, same: bool, ids, n, half, lists, v):
         """Sums and links of one list: all its pairs, or those across its two blocks."""
         unit = v / np.linalg.norm(v, axis=1, keepdims=True)
         links = np.zeros(len(ids), np.int64)
@@ -119,8 +126,8 @@ def _verify(threshold: float):
         pad = np.full((len(lists), width), 0, np.int64) - 1 - np.arange(len(lists))[:, None]
         for r, x in enumerate(lists):
             pad[r, : len(x)] = x
-        left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
+        left = np.arange(len(ids)) if same else np.flatnonzero(half == 0)
+        right = left if same else np.flatnonzero(half == 1)
         for k in range(0, len(left), 256):
             rows = left[k : k + 256]
             i, j = np.nonzero(unit[rows] @ unit[right].T >= threshold)
@@ -143,13 +150,13 @@ def _verify(threshold: float):
             t = pa.Table.from_batches(held)
             keys = np.stack([t.column(c).to_numpy() for c in ("label", "dim", "filter", "a", "b")], 1)
             edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-            ids, n, side = (t.column(c).to_numpy() for c in ("id", "n", "side"))
+            ids, n, half = (t.column(c).to_numpy() for c in ("id", "n", "side"))
             filters, vec = t.column("filters").to_pylist(), t.column("vec").to_pylist()
             out_id, out_links, out_low = [], [], []
             for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True):
                 if y - x < 2:
                     continue
-                links, found = group(int(keys[x, 2]), keys[x, 3] == keys[x, 4], ids[x:y], n[x:y], side[x:y], [np.frombuffer(f, np.int64) for f in filters[x:y]], np.stack([np.frombuffer(f, np.float64) for f in vec[x:y]]))
+                links, found = group(int(keys[x, 2]), keys[x, 3] == keys[x, 4], ids[x:y], n[x:y], half[x:y], [np.frombuffer(f, _kind(side)) for f in filters[x:y]], np.stack([np.frombuffer(f, np.float32 if len(f) == 4 * keys[x, 1] else np.float64).astype(np.float64) for f in vec[x:y]]))
                 got = np.flatnonzero(links)
                 out_id += [ids[x:y][got], *(a for a, _ in found)]
                 out_links += [links[got], *(np.zeros(len(a), np.int64) for a, _ in found)]
@@ -184,10 +191,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec
     spark = vectors.sparkSession
     v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # Scaling by the largest component keeps squares of very large or very small ones in range.
+    # Scaling by a power of two, which loses nothing, keeps squares of very large or very small components in range.
     top = F.array_max(F.transform("embedding", F.abs))
+    unit = F.pow(F.lit(2.0), F.ceil(F.log2(top)))
     sound = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & ~bad & (top > 0), F.lit(False))
-    v = v.select("id", "label", sound.alias("sound"), F.when(sound, F.transform("embedding", lambda x: x / top)).alias("embedding"))
+    v = v.select("id", "label", sound.alias("sound"), F.when(sound, F.transform("embedding", lambda x: x / unit)).alias("embedding"))
     v = v.withColumn("h", F.xxhash64("embedding")).withColumn("i", F.xxhash64(F.lit(1), "embedding"))
     good = v.where("sound")
     reps = good.groupBy("label", "h", "i").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
@@ -203,7 +211,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec
     dealt = dealt.select("label", "dim", "filter", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "filters", "vec")
     keys = ["label", "dim", "filter", "a", "b"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = cut(dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold), "id long, links long, low long"))
+    sums = cut(dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold, side), "id long, links long, low long"))
     links = sums.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(sums.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
     named = reps.select("label", "h", "i", F.col("id").alias("rep"), "n")
