@@ -30,7 +30,7 @@ from moraine.llm.wordscan import runs
 #: A chunk ends at so many documents, distinct pre-tokens or bytes of text.
 CHUNK_DOCS, CHUNK_TOKENS, CHUNK_BYTES = 512, 60_000, 8 << 20
 #: Documents of the table for each hash range.
-RANGE = 4096
+RANGE = 1024
 
 
 class PreTokens:
@@ -187,7 +187,7 @@ def _sum(t: pa.Table, answers: pa.Table) -> pa.Table:
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens), a row for each row of docs. tokenizer: a file of the `tokenizers` library that each executor has."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranges = max(64, d.count() // RANGE)
+    ranges = max(256, d.count() // RANGE)
     sent = d.mapInArrow(_send(tokenizer, ranges), _SENT_SQL).groupBy("k")
     answers = sent.applyInArrow(_count(tokenizer), "k long, r long, pieces binary")
     return sent.cogroup(answers.groupBy("k")).applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
