@@ -33,7 +33,7 @@ from moraine.llm.wordscan import Words, runs, scan, windows
 
 WINDOW, BLOCK = 20, 10
 #: Documents a group has at most if ids are not repeated; documents whose blocks share a hash range.
-GROUP, RANGE = 256, 4096
+GROUP, RANGE = 256, 1024
 _U = np.uint64
 
 
@@ -224,7 +224,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    ranges = max(64, d.count() // RANGE)
+    ranges = max(256, d.count() // RANGE)
     bits = max(1, (ranges - 1).bit_length())
     # Null ids come last, dealt by their texts.
     g = F.when(F.col("id").isNotNull(), F.floor(F.col("id") / GROUP)).otherwise(F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(1024)))
