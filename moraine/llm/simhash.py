@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from moraine.llm.common import cut, fresh, read
 from moraine.llm.components import components, forest
+from moraine.llm.set_similarity import grouped, with_keys
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 3, 3, 42
 #: Verified pairs compared at once in a task.
@@ -141,14 +142,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return fps.join(every, fps["fp"] == every["c_fp"]).select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' rows and columns, of each group of near duplicates only the document with the smallest id (of rows that share it, one)."""
-    found = cut(near_duplicates(docs, doc_id, text))
-    kept = found.where("id = component OR id IS NULL AND component IS NULL").select(F.col("id").alias("kept_id")).distinct()
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, t1, t2, root): one row for each row of docs; root is the smallest fingerprint that links reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(3).cast(pa.large_binary())], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp.view(np.int64))], names=["id", "t1", "t2", "fp"])
+
+    fps = cut(with_keys(docs, doc_id, text).mapInArrow(run, "id long, t1 long, t2 long, fp long"))
+    comp = components(links(cut(fps.select("fp").distinct())))
+    return fps.join(comp, fps["fp"] == comp["node"], "left").select("id", "t1", "t2", F.coalesce("component", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """docs' rows and columns, of each group of near duplicates only the document with the smallest id (of rows that share it, one).
+
+    Near duplicates are texts whose sets of shingles have at least this Jaccard similarity, or without one, fingerprints at RADIUS or
+    fewer bits.
+    """
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("fingerprints have a fixed shingle; name a similarity")
+    rows = cut(_grouped(docs, doc_id, text) if similarity is None else grouped(docs, doc_id, text, shingle, similarity))
     key = fresh(docs, "kept_id")
-    kept = kept.withColumnRenamed("kept_id", key)
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")).select(F.col("first.id").alias(key)).distinct()
     out = docs.join(kept, docs[doc_id].eqNullSafe(kept[key]), "left_semi")
-    repeated = not found.groupBy("id").count().where("count > 1").isEmpty()
+    repeated = not rows.groupBy("id").count().where("count > 1").isEmpty()
     return out.dropDuplicates([doc_id]) if repeated else out
 
 

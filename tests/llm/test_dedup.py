@@ -184,6 +184,39 @@ def test_simhash_keeps_one(spark, docs):
     assert sorted((r.component or 0) for r in simhash.near_duplicates(nulls).collect()) == [0, 4, 4]
 
 
+def jaccard_groups(rows, shingle=5, similarity=0.8):
+    """The root of each (position of a) text by brute force."""
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+    sets = [grams(t) for t in rows]
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) if (len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) if sets[i] or sets[j] else True)]
+    return reach(range(len(rows)), alike)
+
+
+def test_near_copies_by_similarity(spark):
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = [None, "", " ", "one", "One", "two words", "a b c d", "A b c  d"]
+    for _ in range(60):
+        w = r.choices(vocab, k=r.randint(20, 160))
+        rows.append(" ".join(w))
+        for _ in range(r.randint(0, 5)):  # edits pile up, so groups are chains and some pairs fall below
+            w = list(w)
+            for _ in range(r.randint(1, 3)):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            rows.append(" ".join(w))
+    w = r.choices(vocab, k=80)
+    rows += [" ".join([*w[:i], "x", *w[i + 1 :]]) for i in range(0, 80, 2)]  # one large group
+    want = jaccard_groups(rows)
+    assert 60 < len(set(want.values())) < len(rows) - 60
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = simhash.keep_one(d, shingle=5, similarity=0.8)
+    assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == sorted(set(want.values()))
+    assert simhash.keep_one(d.limit(0), shingle=5, similarity=0.8).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(1, i) for i in range(200, 400)]
