@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from moraine.llm.common import cut, fresh, read
 from moraine.llm.components import components, forest
-from moraine.llm.set_similarity import grouped, with_keys
+from moraine.llm.set_similarity import grouped, small, with_keys
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 3, 3, 42
 #: Verified pairs compared at once in a task.
@@ -156,19 +156,23 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """docs' rows and columns, of each group of near duplicates only the document with the smallest id (of rows that share it, one).
+    """docs' rows and columns, of each group of near duplicates only the row with the smallest id (null last; of one id, by a hash of the text).
 
     Near duplicates are texts whose sets of shingles have at least this Jaccard similarity, or without one, fingerprints at RADIUS or
-    fewer bits.
+    fewer bits. Rows that share an id, null too, are documents of their own: one goes only if its own text links to a row that stays.
     """
     if similarity is None and shingle != SHINGLE:
         raise ValueError("fingerprints have a fixed shingle; name a similarity")
     rows = cut(_grouped(docs, doc_id, text) if similarity is None else grouped(docs, doc_id, text, shingle, similarity))
-    key = fresh(docs, "kept_id")
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")).select(F.col("first.id").alias(key)).distinct()
-    out = docs.join(kept, docs[doc_id].eqNullSafe(kept[key]), "left_semi")
-    repeated = not rows.groupBy("id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates([doc_id]) if repeated else out
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("first"))
+    apart = rows.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))))
+    names = {c: fresh(docs, f"gone_{c}") for c in ("id", "t1", "t2")}
+    gone = small(cut(apart.select("id", "t1", "t2").distinct().withColumnsRenamed(names)))
+    keys = [fresh(docs, "key_1"), fresh(docs, "key_2")]
+    out = docs.withColumns({keys[0]: F.xxhash64(text), keys[1]: F.xxhash64(F.lit(1), F.col(text))})
+    out = out.join(gone, out[doc_id].cast("long").eqNullSafe(gone[names["id"]]) & (out[keys[0]] == gone[names["t1"]]) & (out[keys[1]] == gone[names["t2"]]), "left_anti")
+    repeated = not rows.groupBy("id", "t1", "t2").count().where("count > 1").isEmpty()
+    return (out.dropDuplicates([doc_id, *keys]) if repeated else out).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,6 +217,15 @@ def test_near_copies_by_similarity(spark):
     assert simhash.keep_one(d.limit(0), shingle=5, similarity=0.8).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"shingle": 5, "similarity": 0.8}])
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, options):
+    r = random.Random(9)
+    t = [" ".join(f"v{r.randrange(5000)}" for _ in range(40)) for _ in range(8)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (8, t[4]), (None, t[3]), (7, t[3]), (9, t[5]), (3, t[5]), (None, t[6]), (None, t[6])]
+    got = sorted((x.doc_id or 0, t.index(x.text)) for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect())
+    assert got == [(0, 0), (0, 1), (0, 2), (0, 6), (3, 5), (7, 3), (7, 4)]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(1, i) for i in range(200, 400)]
