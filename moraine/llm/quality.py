@@ -1,12 +1,13 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, temperature-calibrated scores.
 
-Words are hashed. Each word has a sparse ternary index vector; the vector of a word is the sum of the index vectors of its
-neighbours in the training texts (random indexing). A word also has a shape (letter case, digits, signs, length, whether it
+Each word has a sparse ternary index vector; the vector of a word is the sum of the index vectors of its neighbours in all
+documents (random indexing), labelled or not: tasks sum in whole numbers and Spark adds the sums up by word. The `FREQUENT` most
+frequent words of all documents have rows of their own, told apart by 64-bit hashes; rarer ones share `BUCKETS` rows. A word also has a shape (letter case, digits, signs, length, whether it
 repeats a word just before), which is a pseudo-word of its own. A document is the mean of its words' vectors, the mean of its
 shapes' vectors and its length, over the whole text. The network is trained with numpy on the driver; its
-temperature is fitted on training rows set aside. The model has a fixed size (about 9 MB) and is broadcast.
+temperature is fitted on training rows set aside. The model has a bounded size (about 20 MB) and is broadcast.
 
-The only sample is the training set: at most `MAX_TRAIN` labelled rows with at most `MAX_BYTES` of text, by a hash of their id, none of them held out.
+Only the network and its temperature see a sample, the training set: at most `MAX_TRAIN` labelled rows with at most `MAX_BYTES` of text, by a hash of their id, none of them held out.
 Neither labels nor lang, source or doc_id enter a score.
 
 Defined cases: null and empty texts are scored as texts without words; rows without label are scored only; a null doc_id is
@@ -27,9 +28,12 @@ from moraine.llm.common import cut, read
 from moraine.llm.wordscan import Words, scan, slices
 
 MAX_TRAIN, MAX_BYTES, FOLDS, KEEP = 6000, 64 << 20, 5, 0.3
-#: Hashed words, dimensions of their vectors, non-zero parts of an index vector, neighbours on either side, hidden units, rounds.
+#: Words with rows of their own; rows that rarer words share, dimensions of the vectors, non-zero parts of an index vector, neighbours on either side, hidden units, rounds.
+FREQUENT = 1 << 16
 BUCKETS, DIM, PARTS, REACH, HIDDEN, ROUNDS = 1 << 15, 48, 4, 2, 32, 60
 SHAPES = 1 << 11
+#: Rows whose sums travel together.
+ROWS = 256
 _U = np.uint64
 
 
@@ -37,15 +41,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def index_parts(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the parts of n sparse ternary vectors."""
+    rng = np.random.default_rng(seed)
+    drawn = [(rng.integers(0, DIM, n), rng.choice(np.array([-1, 1], np.int64), n)) for _ in range(PARTS)]
+    return np.stack([d for d, _ in drawn], axis=1), np.stack([x for _, x in drawn], axis=1)
+
+
 def index_vectors(n: int, seed: int) -> np.ndarray:
     """n sparse ternary vectors."""
-    rng = np.random.default_rng(seed)
     out = np.zeros((n, DIM), np.float32)
-    for _ in range(PARTS):
-        np.add.at(out, (np.arange(n), rng.integers(0, DIM, n)), rng.choice(np.array([-1, 1], np.float32), n))
+    for d, x in zip(*(y.T for y in index_parts(n, seed)), strict=True):
+        np.add.at(out, (np.arange(n), d), x.astype(np.float32))
     return out
 
 
+def word_rows(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The row of each word: a shared one, or after those its own if its hash is in frequent (sorted)."""
+    shared = (h >> _U(40)).astype(np.int64) % BUCKETS
+    if not len(frequent):
+        return shared
+    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+    return np.where(frequent[at] == h, BUCKETS + at, shared)
+
+
 #: For each byte: is it A-Z, a-z or part of a character beyond ASCII, 0-9, another sign?
 _CLASS = np.full(256, 3)
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 0, 1, 1, 2
@@ -74,6 +93,7 @@ def shapes(w: Words, h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    frequent: np.ndarray
     words: np.ndarray
     shapes: np.ndarray
     mean: np.ndarray
@@ -90,8 +110,7 @@ class Model:
         out[:, -1] = np.log1p(n)
         if len(full):
             at = w.per[:-1][full]
-            bucket = (h >> _U(40)).astype(np.int64) % BUCKETS
-            out[full, :DIM] = np.add.reduceat(self.words[bucket], at) / n[full, None]
+            out[full, :DIM] = np.add.reduceat(self.words[word_rows(h, self.frequent)], at) / n[full, None]
             out[full, DIM : 2 * DIM] = np.add.reduceat(self.shapes[shapes(w, h)], at) / n[full, None]
         return out
 
@@ -103,30 +122,91 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x).astype(np.float64) / self.temperature, -40, 40)))
 
 
-def _word_vectors(texts: list[str]) -> np.ndarray:
-    """Random indexing over the training texts, each vector scaled to length 1 (0 for words never seen)."""
-    index, total = index_vectors(BUCKETS, 11), np.zeros((BUCKETS, DIM), np.float32)
-    for at in range(0, len(texts), 64):
-        w = scan(pa.array(texts[at : at + 64], pa.large_string()))
-        bucket = (w.hashes(0) >> _U(40)).astype(np.int64) % BUCKETS
-        text = np.repeat(np.arange(len(w.per) - 1), np.diff(w.per))
-        for k in range(1, REACH + 1):
-            near = np.flatnonzero(text[k:] == text[:-k]) if len(text) > k else np.zeros(0, int)
-            a, b = bucket[near], bucket[near + k]
-            for x, y in ((a, b), (b, a)):
-                order = np.argsort(x, kind="stable")
-                x, y = x[order], y[order]
-                edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else []
-                if len(edge):
-                    total[x[edge]] += np.add.reduceat(index[y], edge)
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    return total / np.where(norm > 0, norm, 1)
-
-
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    """texts and labels (0 or 1) in a fixed order."""
+def _count(total: np.ndarray, w: Words, frequent: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> None:
+    """Adds the index vectors of the neighbours of all words to total (rows by DIM, whole numbers)."""
+    row, flat = word_rows(w.hashes(0), frequent), total.reshape(-1)
+    text = np.repeat(np.arange(len(w.per) - 1), np.diff(w.per))
+    for k in range(1, REACH + 1):
+        near = np.flatnonzero(text[k:] == text[:-k]) if len(text) > k else np.zeros(0, int)
+        a, b = row[near], row[near + k]
+        for x, y in ((a, b), (b, a)):
+            for p in range(PARTS):
+                np.add.at(flat, x * DIM + parts[0][y, p], parts[1][y, p])
+
+
+def _unit(total: np.ndarray) -> np.ndarray:
+    """Each vector scaled to length 1 (0 for words never seen)."""
+    norm = np.linalg.norm(total.astype(np.float64), axis=1, keepdims=True)
+    return (total / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+
+def _word_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What word_vectors has for these texts, without Spark."""
+    scans = [scan(pa.array(texts[at : at + 64], pa.large_string())) for at in range(0, len(texts), 64)]
+    h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.hashes(0) for w in scans)]), return_counts=True)
+    frequent = np.sort(h[np.lexsort((h.view(np.int64), -n))[:FREQUENT]])
+    total, parts = np.zeros((BUCKETS + len(frequent), DIM), np.int64), index_parts(BUCKETS + len(frequent), 11)
+    for w in scans:
+        _count(total, w, frequent, parts)
+    return frequent, _unit(total)
+
+
+def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The frequent words' hashes (sorted) and the vectors of all rows, by random indexing over all documents."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col(text).alias("text"))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "text", 1 << 20):
+                h, n = np.unique(scan(part.column("text")).hashes(0), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    top = texts.mapInArrow(words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    frequent = np.sort(top.column("h").to_numpy().view(np.uint64))
+    rows = BUCKETS + len(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, signs = index_parts(rows, 11)
+        total, parts, n = np.zeros((rows, DIM), np.int32), (places, signs.astype(np.int32)), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for at in range(0, rows, ROWS):
+                if total[at : at + ROWS].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + ROWS].tobytes()], pa.binary())], names=["at", "v"])
+
+        for b in batches:
+            for part in slices(b, "text", 1 << 20):
+                w = scan(part.column("text"))
+                if n + len(w.starts) > 1 << 26:  # 32 bits hold so many words
+                    yield from out()
+                    total[:], n = 0, 0
+                _count(total, w, shared.value, parts)
+                n += len(w.starts)
+        yield from out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                new = np.frombuffer(v.as_buffer(), np.int32).reshape(-1, DIM)
+                total[at] = total[at] + new if at in total else new.astype(np.int64)
+        for at, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([_unit(v).tobytes()], pa.binary())], names=["at", "v"])
+
+    got = texts.mapInArrow(sums, "at long, v binary").repartition(n, "at").mapInArrow(merge, "at long, v binary").toArrow()
+    out = np.zeros((rows, DIM), np.float32)
+    for at, v in zip(got.column("at").to_pylist(), got.column("v"), strict=True):
+        new = np.frombuffer(v.as_buffer(), np.float32).reshape(-1, DIM)
+        out[at : at + len(new)] = new
+    return frequent, out
+
+
+def train(texts: list[str], labels: np.ndarray, vectors: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """texts and labels (0 or 1) in a fixed order; vectors of words from word_vectors, else from these texts."""
     none = np.zeros(2 * DIM + 1, np.float32)
-    model = Model(_word_vectors(texts), index_vectors(SHAPES, 13) / np.float32(np.sqrt(PARTS)), none, none + 1, [np.zeros((2 * DIM + 1, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), np.float32(0)], 1.0)
+    model = Model(*(vectors or _word_vectors(texts)), index_vectors(SHAPES, 13) / np.float32(np.sqrt(PARTS)), none, none + 1, [np.zeros((2 * DIM + 1, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), np.float32(0)], 1.0)
     y = labels.astype(np.float32)
     if len(set(labels.tolist())) < 2:
         return model
@@ -166,7 +246,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """A model from the labelled rows that are not held out."""
+    """A model from the labelled rows that are not held out, over word vectors from all of docs."""
     known = labels.select(F.col(doc_id).alias("l_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
     known = known.groupBy("l_id").agg(F.min("y").alias("y")).withColumn("k", F.xxhash64(F.lit(3), "l_id")).orderBy("k", "l_id").limit(max_train)
     found = docs.join(F.broadcast(known), docs[doc_id] == known["l_id"]).select("l_id", "y", "k", F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -176,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_byte
     keep = sizes[sizes.n.cumsum() <= max_bytes]
     rows = found.where(F.col("k") <= int(keep.k.max())).collect() if len(keep) else []
     rows.sort(key=lambda r: (r.k, r.l_id))
-    return train([r.t for r in rows], np.array([r.y for r in rows]))
+    return train([r.t for r in rows], np.array([r.y for r in rows]), word_vectors(docs, text))
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

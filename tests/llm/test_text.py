@@ -253,6 +253,24 @@ def test_quality(spark):
     assert {r.score for r in quality.scores(d, none).collect()} == {0.5}
 
 
+def test_word_vectors_come_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FREQUENT", 300)
+    rows = graded(200)
+    extra = [f"unseen{i % 7} beside{i % 3} " * 3 for i in range(40)]  # documents without labels
+    texts = [t for _, t, _ in rows] + extra
+    d = spark.createDataFrame([*enumerate(texts), (9000, None), (9001, "")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.fit(d, labels)
+    h = wordscan.scan(pa.array(["unseen0 beside1"])).hashes(0)
+    at = quality.word_rows(h, model.frequent)
+    assert (at >= quality.BUCKETS).all() and at[0] != at[1]
+    assert np.allclose(np.linalg.norm(model.words[at], axis=1), 1)
+    frequent, words = quality._word_vectors(texts)
+    assert len(frequent) == 300 and (frequent == model.frequent).all() and (words == model.words).all()
+    one = quality.word_rows(np.array([frequent[0], frequent[1] ^ np.uint64(1)], np.uint64), frequent)
+    assert one[0] == quality.BUCKETS and one[1] < quality.BUCKETS
+
+
 def test_quality_is_learnt_alike_each_time():
     rows = graded(300)
     a, b = (quality.train([t for _, t, _ in rows], np.array([y for _, _, y in rows])) for _ in range(2))
