@@ -2,10 +2,10 @@
 
 Each word has a sparse ternary index vector; the vector of a word is the sum of the index vectors of its neighbours in all
 documents (random indexing), labelled or not: tasks sum in whole numbers and Spark adds the sums up by word. The `FREQUENT` most
-frequent words of all documents have rows of their own, told apart by 64-bit hashes; rarer ones share `BUCKETS` rows. A word also has a shape (letter case, digits, signs, length, whether it
-repeats a word just before), which is a pseudo-word of its own. A document is the mean of its words' vectors, the mean of its
+frequent words of all documents have rows of their own, told apart by 64-bit hashes; rarer ones share `BUCKETS` rows. A word
+also has a shape (letter case, digits, signs, length, whether it repeats a word just before), which is a pseudo-word of its own. A document is the mean of its words' vectors, the mean of its
 shapes' vectors and its length, over the whole text. The network is trained with numpy on the driver; its
-temperature is fitted on training rows set aside. The model has a bounded size (about 20 MB) and is broadcast.
+temperature is fitted on training rows set aside. The model has a bounded size (about 4 MB) and is broadcast.
 
 Only the network and its temperature see a sample, the training set: at most `MAX_TRAIN` labelled rows with at most `MAX_BYTES` of text, by a hash of their id, none of them held out.
 Neither labels nor lang, source or doc_id enter a score.
@@ -16,6 +16,7 @@ scored and not held out; repeated rows get equal scores; without usable labels e
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +30,11 @@ from moraine.llm.wordscan import Words, scan, slices
 
 MAX_TRAIN, MAX_BYTES, FOLDS, KEEP = 6000, 64 << 20, 5, 0.3
 #: Words with rows of their own; rows that rarer words share, dimensions of the vectors, non-zero parts of an index vector, neighbours on either side, hidden units, rounds.
-FREQUENT = 1 << 16
-BUCKETS, DIM, PARTS, REACH, HIDDEN, ROUNDS = 1 << 15, 48, 4, 2, 32, 60
+FREQUENT = 1 << 14
+BUCKETS, DIM, PARTS, REACH, HIDDEN, ROUNDS = 1 << 14, 32, 2, 2, 32, 60
 SHAPES = 1 << 11
-#: Rows whose sums travel together.
-ROWS = 256
+#: Rows whose sums travel together; distinct words that a task holds before it sends them on.
+ROWS, HELD = 256, 1 << 20
 _U = np.uint64
 
 
@@ -124,14 +125,17 @@ class Model:
 
 def _count(total: np.ndarray, w: Words, frequent: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> None:
     """Adds the index vectors of the neighbours of all words to total (rows by DIM, whole numbers)."""
-    row, flat = word_rows(w.hashes(0), frequent), total.reshape(-1)
-    text = np.repeat(np.arange(len(w.per) - 1), np.diff(w.per))
-    for k in range(1, REACH + 1):
-        near = np.flatnonzero(text[k:] == text[:-k]) if len(text) > k else np.zeros(0, int)
-        a, b = row[near], row[near + k]
-        for x, y in ((a, b), (b, a)):
-            for p in range(PARTS):
-                np.add.at(flat, x * DIM + parts[0][y, p], parts[1][y, p])
+    row = word_rows(w.hashes(0), frequent)
+    text, base = np.repeat(np.arange(len(w.per) - 1), np.diff(w.per)), row * DIM
+    place, sign = [parts[0][row, p] for p in range(PARTS)], [parts[1][row, p].astype(np.float64) for p in range(PARTS)]
+    at, signs = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k in range(1, min(REACH + 1, len(row))):
+        near = text[k:] == text[:-k]
+        for p in range(PARTS):
+            at += [base[:-k] + place[p][k:], base[k:] + place[p][:-k]]
+            signs += [sign[p][k:] * near, sign[p][:-k] * near]
+    # Sums of whole numbers this small are exact in double precision.
+    total += np.bincount(np.concatenate(at), np.concatenate(signs), total.size).reshape(total.shape).astype(total.dtype)
 
 
 def _unit(total: np.ndarray) -> np.ndarray:
@@ -157,10 +161,26 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     texts = docs.select(F.col(text).alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, inv = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in held)]), return_inverse=True)
+            return h, np.bincount(inv, np.concatenate([np.zeros(0), *(n for _, n in held)]), len(h)).astype(np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, n = merged()
+            for at in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)])], names=["h", "n"])
+
         for b in batches:
-            for part in slices(b, "text", 1 << 20):
-                h, n = np.unique(scan(part.column("text")).hashes(0), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            for part in slices(b, "text", 4 << 20):
+                held.append(np.unique(scan(part.column("text")).hashes(0), return_counts=True))
+                if sum(len(x) for x, _ in held) > 2 * HELD:  # what a task has met so far, added up by word
+                    held[:] = [merged()]
+                    if len(held[0][0]) > HELD:
+                        yield from out()
+                        held.clear()
+        yield from out()
 
     top = texts.mapInArrow(words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
     frequent = np.sort(top.column("h").to_numpy().view(np.uint64))
@@ -168,8 +188,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_parts(rows, 11)
-        total, parts, n = np.zeros((rows, DIM), np.int32), (places, signs.astype(np.int32)), 0
+        total, parts, n = np.zeros((rows, DIM), np.int32), index_parts(rows, 11), 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for at in range(0, rows, ROWS):
@@ -177,7 +196,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
                     yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + ROWS].tobytes()], pa.binary())], names=["at", "v"])
 
         for b in batches:
-            for part in slices(b, "text", 1 << 20):
+            for part in slices(b, "text", 4 << 20):
                 w = scan(part.column("text"))
                 if n + len(w.starts) > 1 << 26:  # 32 bits hold so many words
                     yield from out()
@@ -251,11 +270,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_byte
     known = known.groupBy("l_id").agg(F.min("y").alias("y")).withColumn("k", F.xxhash64(F.lit(3), "l_id")).orderBy("k", "l_id").limit(max_train)
     found = docs.join(F.broadcast(known), docs[doc_id] == known["l_id"]).select("l_id", "y", "k", F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = cut(found.groupBy("l_id").agg(F.min("y").alias("y"), F.min("k").alias("k"), F.min("t").alias("t")))
-    # Rows come by their hash until the bytes are used up.
-    sizes = found.select("l_id", "k", F.octet_length("t").alias("n")).toPandas().sort_values(["k", "l_id"])
-    keep = sizes[sizes.n.cumsum() <= max_bytes]
-    rows = found.where(F.col("k") <= int(keep.k.max())).collect() if len(keep) else []
-    rows.sort(key=lambda r: (r.k, r.l_id))
+    # Rows come by their hash; one that would pass the bytes allowed is left out, and the next is looked at.
+    sizes, keep, left = found.select("l_id", "k", F.octet_length("t").alias("n")).collect(), [], max_bytes
+    for r in sorted(sizes, key=lambda r: (r.k, r.l_id)):
+        if r.n <= left:
+            keep.append(r.l_id)
+            left -= r.n
+    rows = sorted(found.where(F.col("l_id").isin(keep)).collect(), key=lambda r: (r.k, r.l_id)) if keep else []
+    if len({r.y for r in rows}) < 2:
+        warnings.warn("no labelled rows of both kinds to learn from: every score is 0.5", stacklevel=2)
     return train([r.t for r in rows], np.array([r.y for r in rows]), word_vectors(docs, text))
 
 
