@@ -99,9 +99,10 @@ def strike(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("group", [1, 7, 256])
-def test_substrings(docs, group, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "GROUP", group)
+@pytest.mark.parametrize(("group", "batch"), [(1, 3), (7, 1), (512, 256)])
+def test_substrings(docs, group, batch, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CLASSES", ((300, group), (600, group)))
+    monkeypatch.setattr(substring_dedup, "BATCH", batch)
     want = strike(sorted((r.doc_id, r.text) for r in docs.collect()))
     got = sorted(map(tuple, substring_dedup.dedup_substrings(docs).drop("kept").collect()))
     assert got == want and sum(n for _, _, n, _ in want) > 500
@@ -111,12 +112,27 @@ def test_substrings_of_repeated_rows_and_nulls(spark):
     t = " ".join(f"w{i}" for i in range(25))
     d = spark.createDataFrame([(5, t), (5, t), (None, t), (7, None), (9, "a " * 45)], "doc_id long, text string")
     got = sorted((r.id or 0, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(d).collect())
-    assert got == [(0, 25, 25), (5, 25, 0), (5, 25, 25), (7, 0, 0), (9, 45, 44)] or got == [(0, 25, 25), (5, 25, 0), (5, 25, 25), (7, 0, 0), (9, 45, 44)]
+    assert got == [(0, 25, 25), (5, 25, 0), (5, 25, 25), (7, 0, 0), (9, 45, 44)]
+    apart = sorted((r.id or 0, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(d.union(d).repartition(7)).collect())
+    assert sum(n for i, _, n in apart if i in (0, 5)) == 25 * 5 and sum(n for i, _, n in apart if i == 9) == 44 + 45
     assert substring_dedup.dedup_substrings(d.limit(0)).count() == 0
     with pytest.raises(ValueError):
         substring_dedup.dedup_substrings(d, window=18)
 
 
+def test_substring_rows_do_not_follow_the_table():
+    # The bytes of anchors for a word, with the hashes of a table of 2^18 documents and of one of 2^27: a group sends as many rows, and hashes longer by the logarithm only.
+    r = random.Random(4)
+    t = pa.table({"id": list(range(512)), "text": [" ".join(f"w{r.randrange(10**6)}" for _ in range(300)) for _ in range(512)], "g": [7] * 512})
+    sent = [substring_dedup._probe(bits, 10)(t) for bits in (34, 43)]
+    assert len({x.num_rows for x in sent}) == 1 and sent[0].num_rows <= 2**substring_dedup.FIRST
+    small, large = (sum(map(len, x.column("a").to_pylist())) for x in sent)
+    assert 3 <= small / (512 * 291) <= 3.1 and large / small < 1.4
+    x = np.sort(np.random.default_rng(1).integers(0, 2**50, 1000).astype(np.uint64))
+    for v in (x, x[:1], x[:0]):
+        assert (substring_dedup._unpack_sorted(substring_dedup._pack_sorted(v)) == v).all()
+
+
 def simple_fingerprint(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

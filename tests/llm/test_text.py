@@ -27,6 +27,8 @@ def odd_texts(n=400, seed=1):
 @pytest.mark.parametrize("chunk", [3, 512])
 def test_token_counts(spark, chunk, monkeypatch):
     monkeypatch.setattr(token_counts, "CHUNK_DOCS", chunk)
+    monkeypatch.setattr(token_counts, "BATCH_TASKS", 1 if chunk == 3 else 256)
+    monkeypatch.setattr(token_counts, "BATCH_CHUNKS", 2)
     texts = odd_texts() + ["word " * 70_000, " ".join(f"w{i}x{i * 7}" for i in range(3000))]
     tok = Tokenizer.from_file(TOKENIZER)
     rows = [(i if i != 7 else None, t) for i, t in enumerate(texts)] + [(3, texts[20])] * 2
@@ -38,6 +40,27 @@ def test_token_counts(spark, chunk, monkeypatch):
     assert sorted(map(tuple, token_counts.count_tokens(empty, TOKENIZER).collect())) == [(1, 0, 0), (2, 0, 0)]
 
 
+def test_token_rows_do_not_follow_the_table():
+    # What a chunk sends depends on the chunk alone: as many rows and bytes for a byte of text in the first batch and in one that only a huge table has.
+    split = token_counts._tokenizer(TOKENIZER)
+    r = random.Random(3)
+    sent = []
+    for batch in (0, 1 << 30):
+        chunk = token_counts._Chunk(10**9)
+        for i in range(300):
+            t = " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(200))
+            chunk.add(i, len(t), *split(t))
+        rows = chunk.rows(batch)
+        assert rows.num_rows <= token_counts.RANGES + 1
+        sent.append(rows.nbytes / chunk.size)
+    assert abs(sent[0] / sent[1] - 1) < 0.2
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        token_counts.PreTokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def fill(sizes, weights=(1, 2, 3)):
     """Targets by resharing the excess until none is above three times its source."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
