@@ -111,7 +111,7 @@ def _describe(shingle: int, similarity: float, hot) -> Callable:
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of rows sorted by the first one, in parts that hold whole groups of it."""
     held: list[list[np.ndarray]] = []
     for b in batches:
@@ -134,7 +134,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Posting lists of more than one node."""
-    for cols in _groups(batches):
+    for cols in whole_groups(batches):
         s = cols[0]
         same = s[1:] == s[:-1]
         many = np.r_[False, same] | np.r_[same, False]
@@ -146,7 +146,7 @@ def _pairs(similarity: float, every: bool) -> Callable:
     """Pairs of nodes of one list that can be similar: neighbours in the list, or (every) all of different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _groups(batches):
+        for cols in whole_groups(batches):
             edge = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
             size = np.diff(np.r_[edge, len(cols[0])])
             if every:  # lists within one component go

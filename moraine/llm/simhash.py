@@ -3,7 +3,8 @@
 Two fingerprints at 3 or fewer differing bits have, once a block of bits that holds one of the differences is masked, at most
 2 differences left, and then a value in the middle at most 1 bit from either. So each distinct fingerprint emits, for each
 way of masking one of `BLOCKS` blocks, its masked value and all values one bit away (half the radius); what meets on a value
-is verified. Within a task the verified pairs shrink to a spanning forest before they leave it, so a group of copies costs
+is verified; where very many meet, only those that agree in further parts of their bits and are not joined yet. Within a
+task the verified pairs shrink to a spanning forest before they leave it, so a group of copies costs
 links in proportion to its distinct fingerprints, and equal fingerprints never meet at all.
 
 Defined cases: null and empty texts have fingerprint 0, which links like any other; rows that share a doc_id (null too, which
@@ -13,6 +14,7 @@ sorts last) and repeated rows each get a row; an empty table gives an empty resu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 
 from moraine.llm.common import cut, fresh, read
 from moraine.llm.components import components, forest
-from moraine.llm.set_similarity import grouped, small, with_keys
+from moraine.llm.set_similarity import grouped, small, whole_groups, with_keys
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 3, 3, 42
-#: Verified pairs compared at once in a task.
-CHUNK = 1 << 20
+#: Links that a task holds before it shrinks them to a forest; fingerprints on one value that are all compared.
+CHUNK, SPLIT = 1 << 20, 256
+_U = np.uint64
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -58,73 +61,130 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def masks() -> list[int]:
-    """What each masking keeps of the 64 bits: all but one block."""
-    cut_at = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    return [(2**64 - 1) ^ (2**b - 2**a) for a, b in zip(cut_at, cut_at[1:], strict=False)]
+#: Begin and end of the block of bits that each masking takes away, what it keeps, and the flips of half the radius (none comes first).
+_CUTS = [(64 * i // BLOCKS, 64 * (i + 1) // BLOCKS) for i in range(BLOCKS)]
+_KEEP = [_U((2**64 - 1) ^ (2**b - 2**a)) for a, b in _CUTS]
+_FLIPS = [np.array([0, *(1 << i for i in range(64) if int(m) >> i & 1)], np.uint64) for m in _KEEP]
 
 
 def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint's variants: block, value, fp."""
-    flips = [np.array([0, *(1 << i for i in range(64) if m >> i & 1)], np.uint64) for m in masks()]
+    """Each fingerprint's variants: key, the masked value with the block's number where the block was; rest, what gives the fingerprint back."""
     for whole in batches:
         for at in range(0, whole.num_rows, 4096):
             fp = whole.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for block, (m, flip) in enumerate(zip(masks(), flips, strict=True)):
-                value = ((fp & np.uint64(m))[:, None] ^ flip[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), block, np.int8)), pa.array(value.view(np.int64)), pa.array(np.repeat(fp, len(flip)).view(np.int64))], names=["block", "value", "fp"])
+            for block, ((a, b), keep, flip) in enumerate(zip(_CUTS, _KEEP, _FLIPS, strict=True)):
+                key = ((fp & keep)[:, None] ^ flip[None, :]) | _U(block << a)
+                free = (fp >> _U(a)) & _U(2 ** (b - a) - 1)
+                rest = (free[:, None] << _U(8)) | _U(block) | (np.arange(len(flip), dtype=np.uint64) << _U(2))[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rest.ravel().astype(np.int32))], names=["key", "rest"])
+
+
+def _fingerprints_of(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    key, rest = key.view(np.uint64), rest.astype(np.int64)
+    block, flip, free = rest & 3, rest >> 2 & 63, (rest >> 8).astype(np.uint64)
+    out = np.empty(len(key), np.uint64)
+    for k, ((a, _), keep, flips) in enumerate(zip(_CUTS, _KEEP, _FLIPS, strict=True)):
+        own = block == k
+        out[own] = ((key[own] & keep) ^ flips[flip[own]]) | free[own] << _U(a)
+    return out
+
+
+def _shifted(key: np.ndarray, fp: np.ndarray, size: np.ndarray, comp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among rows of equal keys (size: of each row's group), by shifting the rows against themselves; comp: only across these."""
+    left = size
+    for shift in range(1, int(size.max(initial=1))):
+        live = left > shift  # groups too small for this shift go
+        key, fp, left = key[live], fp[live], left[live]
+        comp = None if comp is None else comp[live]
+        near = (key[shift:] == key[:-shift]) & (np.bitwise_count(fp[:-shift] ^ fp[shift:]) <= RADIUS)
+        if comp is not None:
+            near &= comp[shift:] != comp[:-shift]
+        if near.any():
+            yield fp[:-shift][near], fp[shift:][near]
+
+
+def _sizes(key: np.ndarray) -> np.ndarray:
+    """Of each row of sorted keys, how many have its key."""
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+    n = np.diff(np.r_[edge, len(key)])
+    return np.repeat(n, n)
+
+
+def _large(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links among the distinct fingerprints of one large group, without comparing them all.
+
+    Those one bit apart are looked up first. Then the bits that vary are cut in six parts: a pair within the radius agrees in
+    three of them at least, so only fingerprints that agree there and are not in one component yet are compared.
+    """
+    fp = np.unique(fp)
+    every = np.bitwise_or.reduce(fp ^ fp[0])
+    bits = [1 << i for i in range(64) if int(every) >> i & 1]
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for bit in bits:
+        low = fp[fp & _U(bit) == 0]
+        at = np.minimum(np.searchsorted(fp, low | _U(bit)), len(fp) - 1)
+        met = fp[at] == (low | _U(bit))
+        a.append(low[met])
+        b.append(low[met] | _U(bit))
+
+    def merged() -> np.ndarray:
+        """Shrinks the links to a forest; the component of each fingerprint."""
+        node, low = forest(np.concatenate(a), np.concatenate(b))
+        a[:], b[:] = [node[node != low]], [low[node != low]]
+        comp = fp.copy()
+        comp[np.searchsorted(fp, node)] = low
+        return comp
+
+    parts = [sum(bits[i :: 2 * RADIUS]) for i in range(2 * RADIUS)]
+    comp = merged()
+    for kept in combinations(parts, RADIUS):
+        key = fp & _U(sum(kept))
+        order = np.argsort(key, kind="stable")
+        k, f, c = key[order], fp[order], comp[order]
+        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        mixed = np.repeat(np.minimum.reduceat(c, edge) != np.maximum.reduceat(c, edge), np.diff(np.r_[edge, len(k)]))
+        k, f, c = k[mixed], f[mixed], c[mixed]
+        found = len(a)
+        for x, y in _shifted(k, f, _sizes(k), c):
+            a.append(x)
+            b.append(y)
+            if sum(map(len, a[found:])) > CHUNK:
+                merged()
+                found = len(a)
+        comp = merged()
+    return a[0], b[0]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block and value: pairs of one group at RADIUS or fewer bits, as a forest. A group may run on into the next batch."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def pairs(key: np.ndarray, fp: np.ndarray) -> None:
-        # A group of equal keys is compared by shifting it against itself.
-        alone = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[alone, len(key)])
-        many = np.repeat(size > 1, size)
-        key, fp = key[many], fp[many]
-        left = np.repeat(size, size)[many]
-        for shift in range(1, int(size.max(initial=1))):
-            live = left > shift  # groups too small for this shift go
-            key, fp, left = key[live], fp[live], left[live]
-            same = key[shift:] == key[:-shift]
-            x, y = fp[:-shift][same], fp[shift:][same]
-            near = np.bitwise_count(x ^ y) <= RADIUS
-            if near.any():
-                found.append((x[near].view(np.int64), y[near].view(np.int64)))
-            if sum(len(a) for a, _ in found) > CHUNK:
-                shrink()
+    """Rows sorted by key: pairs of one key at RADIUS or fewer bits, as a forest."""
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
 
     def shrink() -> None:
         node, low = forest(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
         found[:] = [(node[node != low], low[node != low])]
 
-    key, fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    for b in batches:
-        # Masked values of different blocks differ in which bits are free; the block is mixed in to tell them apart.
-        k = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(4) + b.column(1).to_numpy(zero_copy_only=False).view(np.uint64) // np.uint64(2**62) + b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        key, fp = np.r_[key, k], np.r_[fp, b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)]
-        if len(key):
-            whole = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-            if whole:
-                pairs(key[:whole], fp[:whole])
-                key, fp = key[whole:], fp[whole:]
-    if len(key):
-        pairs(key, fp)
-    if found:
-        shrink()
-        a, b = found[0]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    for key, rest in whole_groups(batches):
+        size = _sizes(key)
+        some = size > 1
+        key, fp, size = key[some], _fingerprints_of(key[some], rest[some]), size[some]
+        few = size <= SPLIT
+        found += _shifted(key[few], fp[few], size[few])
+        at = 0
+        big, n = fp[~few], size[~few]
+        while at < len(big):
+            found.append(_large(big[at : at + n[at]]))
+            at += int(n[at])
+        if sum(len(a) for a, _ in found) > CHUNK:
+            shrink()
+    shrink()
+    a, b = found[0]
+    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of the links among distinct fingerprints (column fp)."""
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    balls = distinct.select("fp").mapInArrow(_balls, "block byte, value long, fp long")
-    met = balls.repartition(n, "block", "value").sortWithinPartitions("block", "value")
-    return met.mapInArrow(_verify, "a long, b long")
+    balls = distinct.select("fp").mapInArrow(_balls, "key long, rest int")
+    return balls.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
