@@ -1,17 +1,18 @@
 """Embedding near-dedup with spherical-cap filters.
 
-Directions come from a random product code: a vector is turned by a fixed random rotation and cut in two, each half is
+Directions come from `CODES` random product codes: a vector is turned by a fixed random rotation and cut in two, each half is
 compared with a codebook, and a filter is one codeword of each half. A vector goes to every filter whose direction it exceeds
-a threshold with, found by list decoding (codewords by score, pairs until the sum falls below), and to its `LEAST` best ones at
-any rate. Vectors meet on (label, filter) and are verified in double precision. The number of filters follows the number of
-vectors, so a filter's list stays short; a list longer than `SPLIT` is dealt into blocks, and each pair of blocks is a task's
-group of its own. Exact copies are one vector with a weight before anything else happens. Tasks give back sums and a spanning
-forest, never pairs. At cosine 0.98 a pair shares about ten filters, and misses all with a chance below 0.001 (measured recall:
-tests and README).
+a threshold with, found by list decoding: codewords of the first half that the best one of the second could lift over the
+threshold, then all partners that do. Several codes even out how many filters a vector exceeds, so there is no least number
+and no largest. Vectors meet on (label, filter) and are verified in double precision. The number of filters follows the number
+of vectors, so a filter's list stays short: lists of one vector go before any vector travels, and a list longer than `SPLIT` is
+dealt into blocks, and each pair of blocks is a task's group of its own. Exact copies are one vector with a weight before
+anything else happens. Tasks give back sums and a spanning forest, never pairs. Not exact: a pair at cosine 0.98 misses all
+filters with a chance below 0.01 (measured recall: tests and README).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without label or id, link with
-nothing (component: their own id); vectors of different lengths do not link; repeated rows are copies that link; rows that share
-an id but not a vector share their links; an empty table gives an empty result.
+nothing (component: their own id); labels may be of any type and are told apart by 64-bit hashes; vectors of different lengths do not
+link; repeated rows are copies that link; rows that share an id but not a vector share their links; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,55 +28,45 @@ from pyspark.sql import functions as F
 from moraine.llm.common import cut, read
 from moraine.llm.components import components, forest
 
-#: Filters a vector is in on average, and at least; the longest list compared in one go; pairs whose common filters are looked up at once.
-MEAN, LEAST, SPLIT, CHUNK = 10, 16, 1024, 1 << 14
+#: Codes, filters a vector is in on average over all of them; the longest list compared in one go; pairs whose common filters are looked up at once.
+CODES, MEAN, SPLIT, CHUNK = 32, 48, 1024, 1 << 14
 SEED = 7
 
 
 class ProductCode:
-    """Filters for vectors of `dim` components: `side` codewords for each half."""
+    """Filters for vectors of `dim` components: `side` codewords for each half. number: which of the codes it is."""
 
-    def __init__(self, dim: int, side: int, mean: float = MEAN):
-        rng = np.random.default_rng((SEED, dim, side))
+    def __init__(self, dim: int, side: int, number: int = 0, mean: float = MEAN / CODES):
+        rng = np.random.default_rng((SEED, dim, side, number))
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.half = (dim + 1) // 2
         books = [rng.standard_normal((side, n)) for n in (self.half, dim - self.half) if n]
         self.books = [b / np.linalg.norm(b, axis=1, keepdims=True) * np.sqrt(b.shape[1] / dim) for b in books]
-        self.side = side
+        self.side, self.first = side, number * side * side
         total = side ** len(self.books)
         self.threshold = NormalDist().inv_cdf(1 - min(0.5, mean / total)) / np.sqrt(dim)
 
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Of each unit vector the filters it exceeds, at least LEAST, sorted."""
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of all filters that the unit vectors exceed."""
         turned = unit @ self.turn
-        scores = [turned[:, : self.half] @ self.books[0].T] + ([turned[:, self.half :] @ self.books[1].T] if len(self.books) > 1 else [])
-        if len(scores) == 1:
-            scores.append(np.zeros((len(unit), 1)))
-        order = [np.argsort(-s, axis=1, kind="stable") for s in scores]
-        out = []
-        for a, b, i, j in zip(*scores, *order, strict=True):
-            x, y = a[i], b[j]
-            # Row by row of the sorted grid only a prefix exceeds; the LEAST best lie where the product of ranks is small.
-            reach = np.searchsorted(-y, x - self.threshold, side="right")
-            rows = int(np.argmax(reach == 0)) if (reach == 0).any() else len(reach)
-            got = [(i[r] * len(y) + j[: reach[r]]) for r in range(rows)]
-            ids = np.concatenate(got) if got else np.zeros(0, np.int64)
-            if len(ids) < LEAST:
-                r, c = min(LEAST, len(x)), min(LEAST, len(y))
-                grid = x[:r, None] + y[None, :c]
-                best = np.argsort(-grid, axis=None, kind="stable")[:LEAST]
-                ids = np.union1d(ids, i[best // c] * len(y) + j[best % c])
-            out.append(np.sort(ids))
-        return out
-
-
-def _kind(side: int) -> type:
-    """Of a filter's number in lists."""
-    return np.int32 if side * side < 2**31 else np.int64
-
-
-def _emit(side: int):
-    codes: dict[int, ProductCode] = {}
+        a = turned[:, : self.half] @ self.books[0].T
+        b = turned[:, self.half :] @ self.books[1].T if len(self.books) > 1 else np.zeros((len(unit), 1))
+        row, i = np.nonzero(a >= self.threshold - b.max(1, keepdims=True))
+        at, j = np.nonzero(b[row] >= (self.threshold - a[row, i])[:, None])
+        return row[at], self.first + i[at] * self.side + j
+
+
+def decode(unit: np.ndarray, side: int, codes: list[ProductCode]) -> list[np.ndarray]:
+    """Of each unit vector the filters it exceeds in any code, sorted."""
+    found = [c.decode(unit) for c in codes]
+    row, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((ids, row))
+    return np.split(ids[order], np.searchsorted(row[order], np.arange(1, len(unit))))
+
+
+def _code(side: int):
+    """Adds to each vector its filters, and packs its components: as single precision if they came so."""
+    codes: dict[int, list[ProductCode]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -85,24 +76,17 @@ def _emit(side: int):
                 for dim in np.unique(dims).tolist():
                     rows = b.take(pa.array(np.flatnonzero(dims == dim)))
                     v = rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
                     if dim not in codes:
-                        codes[dim] = ProductCode(dim, side)
-                    lists = codes[dim].decode(unit)
-                    n = [len(x) for x in lists]
-                    rep = np.repeat(np.arange(len(n)), n)
-                    packed = pa.array([x.astype(_kind(side)).tobytes() for x in lists]).take(pa.array(rep))
-                    # Components that came as single precision travel as such.
+                        codes[dim] = [ProductCode(dim, side, k) for k in range(CODES)]
+                    lists = decode(v / np.linalg.norm(v, axis=1, keepdims=True), side, codes[dim])
                     single = v.astype(np.float32)
-                    vec = pa.array([x.tobytes() for x in (single if (single == v).all() else v)]).take(pa.array(rep))
-                    yield pa.RecordBatch.from_arrays([rows.column("label").take(pa.array(rep)), pa.array(np.full(len(rep), dim, np.int32)), pa.array(np.concatenate(lists).astype(np.int64)), rows.column("id").take(pa.array(rep)), rows.column("n").take(pa.array(rep)), packed, vec], names=["label", "dim", "filter", "id", "n", "filters", "vec"])
+                    vec = [x.tobytes() for x in (single if (single == v).all() else v)]
+                    filters = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)), pa.array(np.concatenate(lists).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(np.full(len(lists), dim, np.int32)), rows.column("id"), rows.column("n"), filters, pa.array(vec, pa.binary())], names=["label", "dim", "id", "n", "filters", "vec"])
 
     return run
 
 
-_EMIT = "label long, dim int, filter long, id long, n long, filters binary, vec binary"
-
-
 def _owned(at: int, lists: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether `at` is the smallest filter that the vectors of each pair share. lists: padded with -1 - row."""
     out = np.ones(len(i), bool)
@@ -116,7 +100,7 @@ def _owned(at: int, lists: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarr
     return out
 
 
-def _verify(threshold: float, side: int):
+def _verify(threshold: float):
     def group(at: int, same: bool, ids, n, half, lists, v):
         """Sums and links of one list: all its pairs, or those across its two blocks."""
         unit = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -151,12 +135,13 @@ def _verify(threshold: float, side: int):
             keys = np.stack([t.column(c).to_numpy() for c in ("label", "dim", "filter", "a", "b")], 1)
             edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
             ids, n, half = (t.column(c).to_numpy() for c in ("id", "n", "side"))
-            filters, vec = t.column("filters").to_pylist(), t.column("vec").to_pylist()
+            vec, filters = t.column("vec").to_pylist(), t.column("filters").combine_chunks()
+            first, flat = filters.offsets.to_numpy(), filters.values.to_numpy()
             out_id, out_links, out_low = [], [], []
             for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True):
                 if y - x < 2:
                     continue
-                links, found = group(int(keys[x, 2]), keys[x, 3] == keys[x, 4], ids[x:y], n[x:y], half[x:y], [np.frombuffer(f, _kind(side)) for f in filters[x:y]], np.stack([np.frombuffer(f, np.float32 if len(f) == 4 * keys[x, 1] else np.float64).astype(np.float64) for f in vec[x:y]]))
+                links, found = group(int(keys[x, 2]), keys[x, 3] == keys[x, 4], ids[x:y], n[x:y], half[x:y], [flat[first[i] : first[i + 1]] for i in range(x, y)], np.stack([np.frombuffer(f, np.float32 if len(f) == 4 * keys[x, 1] else np.float64).astype(np.float64) for f in vec[x:y]]))
                 got = np.flatnonzero(links)
                 out_id += [ids[x:y][got], *(a for a, _ in found)]
                 out_links += [links[got], *(np.zeros(len(a), np.int64) for a, _ in found)]
@@ -188,8 +173,7 @@ def _verify(threshold: float, side: int):
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id), a row for each row of vectors."""
-    spark = vectors.sparkSession
-    v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
+    v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     # Scaling by a power of two, which loses nothing, keeps squares of very large or very small components in range.
     top = F.array_max(F.transform("embedding", F.abs))
@@ -201,17 +185,18 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec
     reps = good.groupBy("label", "h", "i").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     reps = cut(reps)
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    side = max(64, int(np.ceil(np.sqrt(largest))))
-    emitted = reps.select("id", "label", "n", "embedding").mapInArrow(_emit(side), _EMIT)
-    hot = cut(emitted.groupBy("label", "dim", "filter").count().where(F.col("count") > SPLIT).select("label", "dim", "filter", F.ceil(F.col("count") / SPLIT).cast("int").alias("blocks")))
-    emitted = emitted.join(F.broadcast(hot) if hot.count() < 100_000 else hot, ["label", "dim", "filter"], "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = emitted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("label", "dim", "filter", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "filters", "vec")
-    keys = ["label", "dim", "filter", "a", "b"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = cut(dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold, side), "id long, links long, low long"))
+    side = max(64, 2 * int(np.ceil(np.sqrt(largest))))
+    coded = cut(reps.select("id", "label", "n", "embedding").mapInArrow(_code(side), "label long, dim int, id long, n long, filters array<long>, vec binary"))
+    # Lists first, by numbers alone; only members of lists of two or more travel with their vectors.
+    keys = ["label", "dim", "filter"]
+    posts = coded.select("label", "dim", "id", F.explode("filters").alias("filter"))
+    lists = cut(posts.groupBy(*keys).agg(F.count("*").alias("members")).where("members > 1").select(*keys, F.ceil(F.col("members") / SPLIT).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = posts.join(lists, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*keys, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
+    dealt = dealt.join(coded.select("id", "n", "filters", "vec", F.col("label").alias("v_label")), "id").where("label = v_label").drop("v_label")
+    keys = [*keys, "a", "b"]
+    sums = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold), "id long, links long, low long"))
     links = sums.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(sums.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
     named = reps.select("label", "h", "i", F.col("id").alias("rep"), "n")
