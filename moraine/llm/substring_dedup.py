@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.llm.common import read
-from moraine.llm.wordscan import Words, runs, scan, windows
+from moraine.llm.wordscan import Words, by_group, runs, scan, windows
 
 WINDOW, BLOCK = 20, 10
-#: Size classes of texts: (bytes of a text at most, documents of a group on average); longer texts are groups of their own.
+#: Size classes of texts: (bytes of a text at most, documents of a group on average); longer texts are alone in their groups on average.
 CLASSES = ((8 << 10, 512), (64 << 10, 64), (512 << 10, 8))
 #: Groups of a batch, and bits of a hash that name its range on the first level and, after those, on the second.
-BATCH, FIRST, SECOND = 256, 6, 12
+BATCH, FIRST, SECOND = 1024, 7, 11
 #: Bits of an anchor's hash beyond those that number the blocks of all documents: one probe in 2 to the SPARE is a false hit.
 SPARE = 10
 _U = np.uint64
@@ -197,13 +197,27 @@ def _deal_keys(bits: int):
 
 
 def _live(t: pa.Table) -> pa.Table:
-    """One fine range: the hashes that are a block somewhere and occur in two groups."""
+    """Fine ranges: the hashes that are a block somewhere and occur in two groups."""
     lists, u, inv, n, block = _merged_keys(t)
     many = n > 1
     many[inv[np.concatenate([_unbits(c, len(x)) for c, x in zip(t.column("c").to_pylist(), lists, strict=True)])]] = True
     hit = (block & many)[inv]
-    keys, f = t.column("k").to_pylist(), t.column("f")[0].as_py()
-    return _table([(k, f, _bits(hit[i:j])) for k, (i, j) in zip(keys, _places(lists), strict=True) if hit[i:j].any()], _BITS)
+    return _flagged(t, hit, lists)
+
+
+def _flagged(t: pa.Table, hit: np.ndarray, lists: list[np.ndarray]) -> pa.Table:
+    """Bits for the lists of fine ranges, if any is set."""
+    return _table([(k, f, _bits(hit[i:j])) for k, f, (i, j) in zip(t.column("k").to_pylist(), t.column("f").to_pylist(), _places(lists), strict=True) if hit[i:j].any()], _BITS)
+
+
+def _in_ranges(one):
+    """Tables of whole fine ranges put through `one`; hashes of different ranges differ, so many ranges go at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, "f"):
+            yield from one(t).to_batches()
+
+    return run
 
 
 def _far(fine: np.ndarray, answers: pa.Table) -> np.ndarray:
@@ -298,7 +312,7 @@ def _deal_runs(t: pa.Table) -> pa.Table:
 
 
 def _earlier(t: pa.Table) -> pa.Table:
-    """One fine range: of each batch's runs, those that an earlier document of another batch holds."""
+    """Fine ranges: of each batch's runs, those that an earlier document of another batch holds."""
     t = t.sort_by("k")
     a = [_unpack_sorted(x) for x in t.column("a").to_pylist()]
     b = [np.frombuffer(x, np.uint32) for x in t.column("b").to_pylist()]
@@ -306,8 +320,7 @@ def _earlier(t: pa.Table) -> pa.Table:
     order, new, _ = _merged_runs(a, b, ids)
     hit = np.zeros(len(order), bool)
     hit[order[~new]] = True
-    f = t.column("f")[0].as_py()
-    return _table([(k, f, _bits(hit[i:j])) for k, (i, j) in zip(t.column("k").to_pylist(), _places(a), strict=True) if hit[i:j].any()], _BITS)
+    return _flagged(t, hit, a)
 
 
 def _spread_runs(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -356,10 +369,11 @@ def _dealt(d: DataFrame) -> tuple[DataFrame, int]:
     for c, (most, _) in reversed([*enumerate(CLASSES)]):
         kind = F.when(size <= most, F.lit(c)).otherwise(kind)
     found = {r.kind: r for r in d.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()}
-    h, g = F.xxhash64("id", "text", F.spark_partition_id()), F.lit(0).cast("long")
-    for c, r in found.items():
-        groups = -(-r.n // CLASSES[c][1]) if c < len(CLASSES) else 2**40
-        g = F.when(kind == c, F.lit(c << 48) + F.pmod(h, F.lit(groups))).otherwise(g)
+    h, g, first = F.xxhash64("id", "text", F.spark_partition_id()), F.lit(0).cast("long"), 0
+    for c, r in sorted(found.items()):
+        groups = -(-r.n // CLASSES[c][1]) if c < len(CLASSES) else r.n
+        g = F.when(kind == c, F.lit(first).cast("long") + F.pmod(h, F.lit(groups))).otherwise(g)
+        first += groups
     blocks = sum(r.bytes for r in found.values()) // (2 * BLOCK) + 1
     return d.withColumn("g", g), min(58, max(FIRST + SECOND + 4, blocks.bit_length() + SPARE))
 
@@ -371,10 +385,10 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     d, bits = _dealt(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")))
     grouped = d.groupBy("g")
     sent = grouped.applyInArrow(_probe(bits, block), _SENT_SQL).groupBy("k")
-    fine = sent.applyInArrow(_deal_keys(bits), _FINE_SQL).groupBy("f").applyInArrow(_live, _BITS_SQL)
+    fine = sent.applyInArrow(_deal_keys(bits), _FINE_SQL).repartition("f").sortWithinPartitions("f").mapInArrow(_in_ranges(_live), _BITS_SQL)
     live = sent.cogroup(fine.groupBy("back")).applyInArrow(_spread_keys(bits), _BITS_SQL)
     found = grouped.cogroup(live.groupBy("back")).applyInArrow(_extend(bits, block, window), _SENT_SQL).groupBy("k")
-    fine = found.applyInArrow(_deal_runs, _FINE_SQL).groupBy("f").applyInArrow(_earlier, _BITS_SQL)
+    fine = found.applyInArrow(_deal_runs, _FINE_SQL).repartition("f").sortWithinPartitions("f").mapInArrow(_in_ranges(_earlier), _BITS_SQL)
     earlier = found.cogroup(fine.groupBy("back")).applyInArrow(_spread_runs, _BITS_SQL)
     return grouped.cogroup(earlier.groupBy("back")).applyInArrow(_strike(window), "id long, n_words long, n_removed long, sha256 string, kept string")
 

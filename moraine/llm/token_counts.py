@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.llm.common import read
-from moraine.llm.wordscan import runs
+from moraine.llm.wordscan import by_group, runs
 
 #: A chunk ends at so many documents, distinct pre-tokens or bytes of text.
 CHUNK_DOCS, CHUNK_TOKENS, CHUNK_BYTES = 512, 60_000, 8 << 20
@@ -226,13 +226,14 @@ def _back(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def _count(path: str):
-    """One fine range: each distinct pre-token is counted once, and every batch gets the numbers of its own."""
+    """Fine ranges: each distinct pre-token is counted once, and every batch gets the numbers of its own."""
 
-    def run(t: pa.Table) -> pa.Table:
-        lists = [x.split("\n") for x in t.column("tokens").to_pylist()]
-        known = dict.fromkeys(x for y in lists for x in y)
-        known = dict(zip(known, _tokenizer(path).pieces(list(known)).tolist(), strict=True))
-        return _back([(k, f, _small(np.fromiter(map(known.__getitem__, x), np.uint32, len(x)))) for k, f, x in zip(t.column("k").to_pylist(), t.column("f").to_pylist(), lists, strict=True)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, "f"):
+            lists = [x.split("\n") for x in t.column("tokens").to_pylist()]
+            known = dict.fromkeys(x for y in lists for x in y)
+            known = dict(zip(known, _tokenizer(path).pieces(list(known)).tolist(), strict=True))
+            yield from _back([(k, f, _small(np.fromiter(map(known.__getitem__, x), np.uint32, len(x)))) for k, f, x in zip(t.column("k").to_pylist(), t.column("f").to_pylist(), lists, strict=True)]).to_batches()
 
     return run
 
@@ -279,8 +280,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     _tokenizer(tokenizer)  # raises here if it is of another kind
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sent = d.mapInArrow(_send(tokenizer), _SENT_SQL).groupBy("k")
-    fine = sent.applyInArrow(_deal, "f long, k long, tokens string").groupBy("f")
-    counted = fine.applyInArrow(_count(tokenizer), _BACK_SQL).groupBy("to")
+    fine = sent.applyInArrow(_deal, "f long, k long, tokens string").repartition("f").sortWithinPartitions("f")
+    counted = fine.mapInArrow(_count(tokenizer), _BACK_SQL).groupBy("to")
     answers = sent.cogroup(counted).applyInArrow(_spread, _BACK_SQL).groupBy("to")
     return sent.cogroup(answers).applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
 

@@ -123,6 +123,25 @@ def windows(h: np.ndarray, n: int, salt: int) -> np.ndarray:
     return run(n)
 
 
+def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Rows sorted by a whole number, in tables that hold all rows of each number in them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(column).to_numpy()
+        if held and k[0] == k[-1] and held[-1].column(column)[-1].as_py() == k[-1]:
+            held.append(b)  # a group that goes on
+            continue
+        at = int(np.searchsorted(k, k[-1]))
+        ready = [*held, b.slice(0, at)]
+        held = [b.slice(at)]
+        if sum(x.num_rows for x in ready):
+            yield pa.Table.from_batches(ready)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
     """(begin, end) of the runs of equal values; none if there are no values."""
     if not len(values):
