@@ -50,32 +50,42 @@ def uniq(c: Column | str) -> Column:
     return F.approx_count_distinct(_col(c))
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def epoch_ms(c: Column | str) -> Column:
-    """Timestamp of milliseconds since 1970, UTC, without zone."""
-    return F.timestamp_millis(_col(c)).cast("timestamp_ntz")
+    """Timestamp of milliseconds since 1970, UTC, without zone, whatever the session's zone."""
+    return F.timestamp_add("MILLISECOND", _col(c), F.expr(_EPOCH))
 
 
 def to_epoch_ms(c: Column | str) -> Column:
-    return F.unix_millis(_col(c).cast("timestamp"))
+    """Milliseconds since 1970 of a timestamp without zone, taken as UTC."""
+    return F.timestamp_diff("MILLISECOND", F.expr(_EPOCH), _col(c).cast("timestamp_ntz"))
 
 
 def day(c: Column | str) -> Column:
-    """yyyy-MM-dd of a timestamp or of milliseconds."""
-    return F.date_format(_col(c), "yyyy-MM-dd")
+    """yyyy-MM-dd of a date or timestamp; one without zone has the same day in every session."""
+    return _col(c).cast("date").cast("string")
 
 
 def day_of_ms(c: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(_col(c)), "yyyy-MM-dd")
+    """The UTC day of milliseconds since 1970."""
+    return day(epoch_ms(c))
+
+
+def day_of_ms_sql(name: str) -> str:
+    """day_of_ms as SQL text, for partitionings that are named before there is a session."""
+    return f"cast(cast(timestampadd(MILLISECOND, {name}, {_EPOCH}) AS date) AS string)"
 
 
 def month(c: Column | str) -> Column:
-    """yyyy-MM of a timestamp."""
-    return F.date_format(_col(c), "yyyy-MM")
+    """yyyy-MM of a date or timestamp."""
+    return F.substring(day(c), 1, 7)
 
 
 def month_start(c: Column | str) -> Column:
     """date_trunc('month') without zone."""
-    return F.date_trunc("month", _col(c)).cast("timestamp_ntz")
+    return F.trunc(_col(c).cast("date"), "month").cast("timestamp_ntz")
 
 
 def parse_month(c: Column | str) -> Column:

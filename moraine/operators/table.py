@@ -17,11 +17,13 @@ from moraine.functions.schema import TableSchema, spark_type
 from moraine.operators import queries
 from moraine.operators.partitioning import GIVEN, PART, Partitioning, from_folder
 from moraine.operators.queries import Query
-from moraine.sources.locks import NoLock
+from moraine.sources.locks import FileLock
 from moraine.sources.log import FileMarker, LogMeta, LogStore, LogTombstone, NoSnapshotError, Snapshot, now_ms, partition_of
 from moraine.sources.storage import FileStore
 
 CODECS = ("UNCOMPRESSED", "SNAPPY", "ZSTD", "GZIP")
+#: Files whose footers one job reads.
+ADOPTED = 1000
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,8 @@ class MergeTable:
 
     partitioning: see Partitioning; sort_order: columns that rows of a file are sorted by; merge_query and insert_query: see
     queries (`source_files` and `_rows` are the views that SQL text names); log_root: another root for the log;
-    insert queries apply to one partition's batch at a time, merge queries to the files merged.
+    insert queries apply to one partition's batch at a time, merge queries to the files merged. lock: what keeps the maintenance
+    of several processes apart, a lock file by default (locks.NoLock where the store cannot create files exclusively).
     """
 
     def __init__(
@@ -76,7 +79,7 @@ class MergeTable:
         self.row_group_size, self.codec, self.preserve_partition, self.threads = row_group_size, codec.upper(), preserve_partition, threads
         self.data = FileStore(spark, root)
         self.log = LogStore(FileStore(spark, log_root) if log_root else self.data, self.prefix, host)
-        self.lock = lock or NoLock()
+        self.lock = lock or FileLock(self.log.store, self.prefix)
 
     # Reading
 
@@ -179,12 +182,25 @@ class MergeTable:
         if not paths:
             return []
         schema = TableSchema()
-        for p in paths:
-            schema.add(TableSchema.of(self.spark.read.option("recursiveFileLookup", True).parquet(self.data.full(p)).schema))
-        markers = [FileMarker(p, now, self.data.size(p)) for p in paths]
+        for at in range(0, len(paths), ADOPTED):
+            schema.add(self._footers(paths[at : at + ADOPTED]))
+        markers = [FileMarker(p, now, n) for p, n in zip(paths, self.data.sizes(paths), strict=True)]
         self.log.append(schema, markers, timestamp=timestamp)
         return markers
 
+    def _footers(self, paths: list[str]) -> TableSchema:
+        """The schema of files, their footers read by one job; one by one only to name the column if they do not agree."""
+        reader = self.spark.read.option("recursiveFileLookup", True).option("mergeSchema", True)
+        try:
+            return TableSchema.of(reader.parquet(*map(self.data.full, paths)).schema)
+        except Exception:  # noqa: BLE001  whatever the reader calls it
+            if len(paths) == 1:
+                raise
+            schema = TableSchema()
+            for p in paths:
+                schema.add(self._footers([p]))
+            return schema
+
     # Maintenance
 
     def merge(self, max_file_size: int = 10_000_000, max_file_count: int = 10, asc: bool = False) -> Merge:
@@ -193,14 +209,11 @@ class MergeTable:
             done = self._merge(max_file_size, max_file_count, asc, limit=1)
         return done[0] if done else Merge()
 
-    def merge_all(self, max_file_size: int = 10_000_000, max_file_count: int = 10, asc: bool = False, rounds: int = 100) -> list[Merge]:
-        """Merges until nothing is left: each round reads the state once, merges all its partitions at the same time and puts one log."""
+    def merge_all(self, max_file_size: int = 10_000_000, max_file_count: int = 10, asc: bool = False) -> list[Merge]:
+        """Merges until nothing is left: each round reads the state once, merges all files of all partitions at the same time, in as many groups as they make, and puts one log."""
         out: list[Merge] = []
         with self.lock.hold("maintenance"):
-            for _ in range(rounds):
-                done = self._merge(max_file_size, max_file_count, asc, limit=None)
-                if not done:
-                    break
+            while done := self._merge(max_file_size, max_file_count, asc, limit=None):
                 out += done
         return out
 
@@ -294,18 +307,30 @@ class MergeTable:
         out = queries.apply(self.insert_query, routed, "_rows")
         if PART in out.columns and queries.row_wise(out):
             return self._write(out)
-        # A query that looks at several rows sees one partition's batch at a time.
-        names = [r[0] for r in routed.select(PART).distinct().collect()]
+        # A query that looks at several rows sees one partition's batch at a time. The input is read once, and put by partition
+        # into a staging folder that each of these queries finds its own rows in.
+        void = [f.name for f in routed.schema.fields if isinstance(f.dataType, T.NullType)]
+        columns = [c for c in routed.columns if c != PART]
+        kept = routed.drop(*void)
+        struct = T.StructType([f for f in kept.schema.fields if f.name != PART])
+        staging = self._below(f"_staging/{uuid4().hex}")
 
-        def one(name: str) -> tuple[list[FileMarker], TableSchema]:
-            own = queries.apply(self.insert_query, routed.where(F.col(PART).eqNullSafe(name)).drop(PART), "_rows")
-            return self._write(own.withColumn(PART, F.lit(name)))
+        def one(folder: str) -> tuple[list[FileMarker], TableSchema]:
+            own = self.spark.read.schema(struct).parquet(self.data.full(folder)).withColumns({c: F.lit(None) for c in void}).select(*[F.col(f"`{c}`") for c in columns])
+            return self._write(queries.apply(self.insert_query, own, "_rows").withColumn(PART, F.lit(from_folder(folder[len(staging) + 1 :]))))
 
         markers, schema = [], TableSchema()
-        with ThreadPoolExecutor(self.threads) as pool:
-            for m, s in pool.map(one, names):
-                markers += m
-                schema.add(s)
+        try:
+            # A partition's rows may lack all columns but those of its name.
+            some = kept if struct.fields else kept.withColumn("_", F.lit(1))
+            some.hint("rebalance", F.col(PART)).write.partitionBy(PART).parquet(self.data.full(staging))
+            folders = sorted({e.path.rsplit("/", 1)[0] for e in self.data.list(staging, recursive=True, suffix=".parquet")})
+            with ThreadPoolExecutor(self.threads) as pool:
+                for m, s in pool.map(one, folders):
+                    markers += m
+                    schema.add(s)
+        finally:
+            self.data.delete_tree(staging)
         return markers, schema
 
     def _write(self, df: DataFrame) -> tuple[list[FileMarker], TableSchema]:
@@ -349,7 +374,7 @@ class MergeTable:
             self.data.delete_tree(staging)
 
     def _choose(self, snap: Snapshot, max_file_size: int, max_file_count: int, asc: bool) -> list[tuple[str, list[FileMarker]]]:
-        """Partitions in order, and of each the files to merge: from the smallest on until they are large or many enough."""
+        """Partitions in order, and of each the groups of files to merge: from the smallest on until they are large or many enough."""
         of: defaultdict[str, list[FileMarker]] = defaultdict(list)
         for m in snap.alive:
             of[m.partition].append(m)
@@ -360,7 +385,10 @@ class MergeTable:
                 chosen.append(m)
                 total += m.bytes
                 if total >= max_file_size or len(chosen) >= max(2, max_file_count):
-                    break
+                    if len(chosen) < 2:  # all that follow are as large
+                        break
+                    out.append((part, chosen))
+                    chosen, total = [], 0
             if len(chosen) > 1:
                 out.append((part, chosen))
         return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -45,6 +46,10 @@ class FileStore:
     def size(self, path: str) -> int:
         return self.fs.getFileStatus(self._path(path)).getLen()
 
+    def sizes(self, paths: list[str]) -> list[int]:
+        with ThreadPoolExecutor(THREADS) as pool:
+            return list(pool.map(self.size, paths))
+
     def list(self, path: str, recursive: bool = False, suffix: str = "") -> list[Entry]:
         """Files below path; none if it does not exist."""
         p = self._path(path)
@@ -87,6 +92,22 @@ class FileStore:
         finally:
             out.close()
 
+    def publish(self, path: str, text: str) -> None:
+        """As create(), but readers never see the file before it is whole: it is written under another name and then moved.
+
+        The name is claimed by exclusive creation meanwhile. A writer that dies leaves its claim, and the name is not used.
+        """
+        folder, _, name = path.rpartition("/")
+        claim, draft = (f"{folder}/_new/{name}.{x}" for x in ("claim", uuid4().hex))
+        self.create(claim, "")
+        try:
+            if self.exists(path):
+                raise FileExistsError(path)
+            self.create(draft, text)
+            self.rename_many([(draft, path)])
+        finally:
+            self.delete_many([claim])
+
     def rename_many(self, pairs: list[tuple[str, str]]) -> None:
         for d in {b.rsplit("/", 1)[0] for _, b in pairs}:
             self.fs.mkdirs(self._path(d))

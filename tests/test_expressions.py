@@ -43,6 +43,18 @@ def test_times(spark):
     assert one(spark, E.parse_timestamp("t"), t="soon") is None
 
 
+def test_times_in_other_zones(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            ms = 1686110400000
+            assert one(spark, E.epoch_ms("m").cast("string"), m=ms) == "2023-06-07 04:00:00" and one(spark, E.day_of_ms("m"), m=ms) == "2023-06-07"
+            assert one(spark, E.to_epoch_ms(E.epoch_ms("m")), m=ms) == ms and one(spark, E.month(E.epoch_ms("m")), m=ms) == "2023-06"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_paths(spark):
     assert one(spark, E.from_path("p", "d"), p="/x/_data/u=a/d=2023-06-07/f.parquet") == "2023-06-07"
     assert one(spark, E.from_path("p", "d"), p="/x/_data/ad=1/f.parquet") == ""

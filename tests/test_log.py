@@ -68,6 +68,28 @@ def test_many_logs_are_read_by_a_job(spark, tmp_path):
     assert len(again.snapshot().alive) == 40
 
 
+def test_logs_are_whole_or_absent(spark, tmp_path):
+    log = LogStore(FileStore(spark, str(tmp_path)), "t", "h")
+    path, _ = log.append(S, [FileMarker("x", 1, 1)], timestamp=100)
+    whole = log.store.read(path)
+    for cut in ("", whole.split("\n")[0]):
+        with pytest.raises(ValueError):
+            decode(cut)
+    with pytest.raises(FileExistsError):
+        log.store.publish(path, "other")
+    assert log.store.read(path) == whole and log.list() == [path]
+    log.store.create("t/_log/_new/200_h.jsonl.claim", "")  # of a writer that died
+    assert log.append(S, [], timestamp=200)[1].timestamp == 201
+
+
+def test_a_lock_that_was_taken_over_is_left_alone(spark, tmp_path):
+    store = FileStore(spark, str(tmp_path))
+    with FileLock(store, stale_s=0).hold("m"):
+        store.delete_many(["_lock/m"])
+        store.create("_lock/m", "9999999999.0 somebody")
+    assert store.read("_lock/m").endswith("somebody")
+
+
 def test_lock_excludes(spark, tmp_path):
     store = FileStore(spark, str(tmp_path))
     with FileLock(store).hold("maintenance"):

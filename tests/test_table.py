@@ -1,5 +1,6 @@
 import json
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 import pyarrow.parquet as pq
@@ -8,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from moraine.functions.expressions import day_of_ms_sql
 from moraine.functions.schema import SchemaConflict
 from moraine.operators import recipes
 from moraine.operators.partitioning import Partitioning
@@ -19,11 +21,11 @@ from moraine.sources.log import NoSnapshotError
 from moraine.streaming.sink import TableSink
 
 ROWS = [
-    {"ts": 1686176939445, "event": "page_load", "user_id": "a", "properties": json.dumps({"hey": "ho", "numtime": 1})},
-    {"ts": 1676126229999, "event": "page_load", "user_id": "b", "properties": json.dumps({"hey": "ho", "numtime": 2})},
-    {"ts": 1686176939666, "event": "something_else", "user_id": "a", "properties": json.dumps({"hey": "ho", "numtime": 3})},
+    {"ts": 1709251199000, "event": "opened", "user_id": "a", "properties": json.dumps({"place": "north", "n": 4})},
+    {"ts": 1707004800500, "event": "opened", "user_id": "b", "properties": json.dumps({"place": "north", "n": 5})},
+    {"ts": 1709164800000, "event": "sold", "user_id": "a", "properties": json.dumps({"place": "south", "n": 6})},
 ]
-DAY = {"cust": "'test'", "d": "date_format(timestamp_millis(ts), 'yyyy-MM-dd')"}
+DAY = {"shop": "'main'", "d": day_of_ms_sql("ts")}
 
 
 def table(spark, tmp_path, **options):
@@ -34,40 +36,92 @@ def users(t):
     return {r.user_id: r["count"] for r in t.read().groupBy("user_id").count().collect()}
 
 
-def test_lifecycle(spark, tmp_path):
+def test_a_year_of_inserts(spark, tmp_path):
     t = table(spark, tmp_path / "data", log_root=str(tmp_path / "log"), prefix="tenant")
-    for k in (1, 2, 3):
-        made = t.insert(ROWS)
-        assert sorted(m.partition for m in made) == ["cust=test/d=2023-02-11", "cust=test/d=2023-06-07"]
-        assert users(t) == {"a": 2 * k, "b": k}
-    assert t.schema().pairs() == [("ts", "BIGINT"), ("event", "VARCHAR"), ("user_id", "VARCHAR"), ("properties", "VARCHAR")]
+    early, late = "shop=main/d=2024-02-04", "shop=main/d=2024-02-29"
 
     def state():
         s = t.snapshot()
         return len(s.logs), len(s.markers), len(s.alive)
 
-    m = t.merge(max_file_count=2)
-    assert len(m.merged) == 2 and m.log.rsplit("/", 1)[1].split("_")[1] == "m"
-    assert state()[0] == 4 and state()[2] == 5 and users(t) == {"a": 6, "b": 3}
-    c = t.cleanup(0)
-    assert len(c.deleted_data) == 2 and len(set(c.deleted_logs)) == len(c.deleted_logs)
-    assert state() == (2, 5, 5) and users(t) == {"a": 6, "b": 3}
-    for _ in range(20):
+    made = t.insert(ROWS)
+    assert sorted(m.partition for m in made) == [early, late] and users(t) == {"a": 2, "b": 1}
+    assert t.schema().pairs() == [("ts", "BIGINT"), ("event", "VARCHAR"), ("user_id", "VARCHAR"), ("properties", "VARCHAR")]
+    # Removal first, then rows that come late for the removed partition.
+    log, _, n = t.remove_partitions(lambda ps: [p for p in ps if p == early])
+    assert log and n == 1 and users(t) == {"a": 2} and state() == (2, 2, 1)
+    for _ in range(6):
         t.insert(ROWS)
-    assert state()[:2] == (22, 45) and users(t) == {"a": 46, "b": 23}
-    t.merge(2000, 10**9)
-    assert t.merge(max_file_count=2000, max_file_size=10**9).log
-    while t.merge(max_file_count=2000, max_file_size=10**9).log:
-        pass
-    assert users(t) == {"a": 46, "b": 23} and state()[2] == 2
+    assert users(t) == {"a": 14, "b": 6} and state() == (8, 14, 13)
+    log, _, new = t.rewrite_partition(late, "select * from _rows where event <> 'sold'")
+    assert len(new) == 7 and users(t) == {"a": 7, "b": 6}
+    m = t.merge(max_file_count=3)
+    assert len(m.merged) == 3 and m.partition == late and m.log.rsplit("/", 1)[1].split("_")[1] == "m"
+    assert users(t) == {"a": 7, "b": 6} and state()[2] == 11
+    gone = t.cleanup(0).deleted_data
+    assert len(gone) == len(set(gone)) == 11 and state()[1:] == (11, 11) and users(t) == {"a": 7, "b": 6}
+    assert {len(x.merged) for x in t.merge_all(max_file_count=4)} <= {2, 3, 4}
+    assert state()[2] == 2 and users(t) == {"a": 7, "b": 6} and t.merge().log is None and t.merge_all() == []
     t.cleanup(0)
-    assert state() == (1, 2, 2) and users(t) == {"a": 46, "b": 23}
-    log, _, n = t.remove_partitions(lambda ps: [p for p in ps if p.endswith("d=2023-02-11")])
-    assert log and n == 1 and state() == (2, 2, 1) and users(t) == {"a": 46}
-    log, _, new = t.rewrite_partition("cust=test/d=2023-06-07", "select * from _rows where event != 'page_load'")
-    assert len(new) == 1 and state() == (3, 3, 1) and users(t) == {"a": 23}
-    assert t.merge().log is None
-    assert not list((tmp_path / "data").rglob("_staging/*"))
+    assert state() == (1, 2, 2) and users(t) == {"a": 7, "b": 6}
+    assert not list((tmp_path / "data").rglob("_staging/*")) and not list((tmp_path / "log").rglob("*.claim"))
+
+
+def test_thousands_of_files_merge_to_the_end(spark, tmp_path):
+    t = table(spark, tmp_path, partitioning=F.lit("one"), sort_order=[])
+    spark.range(2000).repartition(2000).write.parquet(str(tmp_path / "_data" / "one"))
+    t.adopt([e.path for e in t.data.list("_data", recursive=True, suffix=".parquet")])
+    before = len(t.snapshot().alive)
+    done = t.merge_all(max_file_size=1 << 30, max_file_count=500)
+    assert before > 1000 and len(done) > 2 and len(t.snapshot().alive) == 1 and t.read().agg(F.sum("id")).first()[0] == 1999 * 1000
+
+
+def test_adopted_files_must_agree(spark, tmp_path):
+    t = table(spark, tmp_path, partitioning=F.lit("one"), sort_order=[])
+    spark.range(3).write.parquet(str(tmp_path / "_data" / "a"))
+    spark.range(3).selectExpr("cast(id as string) id").write.parquet(str(tmp_path / "_data" / "b"))
+    with pytest.raises(SchemaConflict):
+        t.adopt([e.path for e in t.data.list("_data", recursive=True, suffix=".parquet")])
+
+
+def test_days_do_not_follow_the_session(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    found = []
+    try:
+        for k, z in enumerate(("UTC", "America/Los_Angeles", "Pacific/Kiritimati")):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            t = table(spark, tmp_path / str(k))
+            t.insert(ROWS)
+            found.append(t.partitions())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == [["shop=main/d=2024-02-04", "shop=main/d=2024-02-29"]] * 3
+
+
+def test_maintenance_of_two_hosts_does_not_overlap(spark, tmp_path):
+    one, two = (table(spark, tmp_path, host=h, partitioning="user_id") for h in ("x", "y"))
+    for _ in range(3):
+        one.insert(ROWS)
+    two.lock.wait_s = 0.3
+    with one.lock.hold("maintenance"):
+        with pytest.raises(TimeoutError):
+            two.merge_all()
+    with ThreadPoolExecutor(2) as pool:
+        two.lock.wait_s = 60
+        list(pool.map(lambda t: t.merge_all(), (one, two)))
+    assert one.read().count() == 9
+
+
+def test_as_of_and_range_joins(spark):
+    from moraine.operators import joins
+
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 5), (5, "a", None), (6, "a", 7)], "i long, k string, t long")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 5, "z"), ("b", 10, "w"), (None, 1, "n")], "k string, at long, v string")
+    got = {r.i: (r["at"], r.v) for r in joins.as_of(left, right, ["k"], "t", "at").collect()}
+    assert got == {1: (5, "z"), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None), 6: (5, "z")}
+    spans = spark.createDataFrame([("p", 0.0, 10.0), ("q", 9.5, 31.0), ("r", 3.0, 3.0)], "name string, low double, high double")
+    points = spark.createDataFrame([(-1.0,), (0.0,), (9.9,), (10.0,), (30.9,), (31.0,), (None,)], "x double")
+    assert sorted((r.x, r.name) for r in joins.within(points, spans, "x", "low", "high", 10.0).collect()) == [(0.0, "p"), (9.9, "p"), (9.9, "q"), (10.0, "q"), (30.9, "q")]
 
 
 def test_empty_table(spark, tmp_path):
@@ -80,7 +134,7 @@ def test_empty_table(spark, tmp_path):
     t.insert(ROWS)
     t.remove_partitions(lambda ps: ps)
     assert t.read().count() == 0 and t.read().columns == ["ts", "event", "user_id", "properties"]
-    assert t.rewrite_partition("cust=test/d=2023-02-11", "select * from _rows")[2] == []
+    assert t.rewrite_partition("shop=main/d=2024-02-04", "select * from _rows")[2] == []
 
 
 def test_rows_take_all_keys_and_stay_as_they_are(spark, tmp_path):
@@ -107,7 +161,7 @@ def test_partition_values_survive(spark, tmp_path):
 def test_python_partition_function(spark, tmp_path):
     t = table(spark, tmp_path, partitioning=lambda r: f"u={r['user_id']}/d={datetime.fromtimestamp(r['ts'] / 1000, UTC):%Y-%m-%d}")
     t.insert(ROWS)
-    assert t.partitions() == ["u=a/d=2023-06-07", "u=b/d=2023-02-11"]
+    assert t.partitions() == ["u=a/d=2024-02-29", "u=b/d=2024-02-04"]
 
 
 def test_files_are_sorted_coded_and_grouped(spark, tmp_path):
@@ -211,12 +265,12 @@ def test_recipes(spark, tmp_path):
 def test_scans_prune(spark, tmp_path):
     t = table(spark, tmp_path)
     t.insert(ROWS)
-    df = t.read(partition_columns=True).where("d = '2023-02-11' AND event = 'page_load'").select("user_id")
+    df = t.read(partition_columns=True).where("d = '2024-02-04' AND event = 'opened'").select("user_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(d" in plan and "PushedFilters: [IsNotNull(event)" in plan and "properties" not in plan.split("ReadSchema")[1]
     assert [r.user_id for r in df.collect()] == ["b"]
-    assert len(t.read(partitions=lambda p: "2023-02" in p).inputFiles()) == 1
-    assert len(t.files("cust=test/d=2023-03", "cust=test/d=2024")) == 1
+    assert len(t.read(partitions=lambda p: "2024-02-04" in p).inputFiles()) == 1
+    assert len(t.files("shop=main/d=2024-02-10", "shop=main/d=2025")) == 1
     assert t.every_file().count() == 3
 
 
@@ -234,14 +288,16 @@ def test_table_function(spark, tmp_path):
     t = table(spark, tmp_path)
     t.insert(ROWS)
     table_function(t, "lifecycle")
-    q = spark.sql("SELECT user_id, count(*) AS n FROM lifecycle(first => 'cust=test/d=2023-03') GROUP BY 1").collect()
+    q = spark.sql("SELECT user_id, count(*) AS n FROM lifecycle(first => 'shop=main/d=2024-02-10') GROUP BY 1").collect()
     assert [tuple(r) for r in q] == [("a", 2)]
     assert spark.sql("SELECT * FROM lifecycle()").count() == 3
-    assert spark.sql("SELECT * FROM lifecycle(last => :d)", args={"d": "cust=test/d=2023-03"}).count() == 1
+    assert spark.sql("SELECT * FROM lifecycle(last => :d)", args={"d": "shop=main/d=2024-02-10"}).count() == 1
 
 
 def test_outputs(spark):
     df = spark.createDataFrame([(1, "x")], "a long, b string")
+    with pytest.raises(ValueError):
+        outputs.to_csv(df.union(df), rows=1)
     assert outputs.to_csv(df) == "a,b\n1,x\n" and "|1  |x  |" in outputs.to_text(df)
     outputs.to_nothing(df)
 
