@@ -4,9 +4,9 @@ Tokens are summed per source, targets follow from weights (no source above `max_
 out again), and each document is emitted floor(rate) times plus one hash-seeded Bernoulli copy, rate = target / size of its
 source. Two passes over the documents, no shuffle of texts: only one row per source is exchanged.
 
-Defined cases: a null text has size 0; null is a source of its own and sorts last; rows with equal doc_id draw the same
-number, so repeated rows are taken equally often; a null doc_id draws one number too; an empty table gives an empty result;
-a source without words has target 0 and is not taken.
+Defined cases: a null text has size 0; null is a source of its own and sorts last; rows that share a doc_id (null too) but not a
+text draw numbers of their own by their text and place, repeated rows too, so that each source comes near its target whatever its ids
+are (reruns agree if rows are read in the same order); an empty table gives an empty result; a source without words has target 0 and is not taken.
 """
 
 from __future__ import annotations
@@ -45,9 +45,11 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int,
     return s.select(source, "source_size", target.alias("target"))
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on doc_id and seed alone: the first 52 bits of an MD5."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def draw(doc_id: Column, seed: int, text: Column | None = None, number: Column | None = None) -> Column:
+    """A number in [0, 1) that depends on doc_id and seed, and on text and number if they are given: the first 52 bits of an MD5."""
+    more = [F.lit(":"), F.md5(F.coalesce(text, F.lit("")))] if text is not None else []
+    more += [F.lit(":"), number.cast("string")] if number is not None else []
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), *more)
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
@@ -61,8 +63,17 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         targets = F.broadcast(targets)
     out = sized.join(targets, sized[source].eqNullSafe(targets[key]), "left").drop(key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")
-    return out.withColumn("copies", F.floor(rate) + extra)
+    # Rows draw by their id. Ids that several rows have, if there are any, do not tell them apart: these rows draw by their text
+    # and by where they are read as well.
+    ids = cut(docs.groupBy(F.col(doc_id).alias("shared")).agg(F.count("*").alias("n")).where("n > 1").select("shared"))
+    own = draw(F.col(doc_id), seed)
+    if not ids.isEmpty():
+        name, row = fresh(out, "mix_shared"), fresh(out, "mix_row")
+        ids = ids.select(F.col("shared").alias(name), F.lit(True).alias(row))
+        out = out.join(F.broadcast(ids) if ids.count() <= BROADCAST_SOURCES else ids, out[doc_id].eqNullSafe(ids[name]), "left")
+        own = F.when(F.col(row), draw(F.col(doc_id), seed, F.col(text), F.monotonically_increasing_id())).otherwise(own)
+    extra = (own < rate - F.floor(rate)).cast("long")
+    return out.withColumn("copies", F.floor(rate) + extra).select(*sized.columns, "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
