@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, temperature-calibrated scores.
 
 Each word has a sparse ternary index vector; the vector of a word is the sum of the index vectors of its neighbours in all
-documents (random indexing), labelled or not: tasks sum in whole numbers and Spark adds the sums up by word. The `FREQUENT` most
-frequent words of all documents have rows of their own, told apart by 64-bit hashes; rarer ones share `BUCKETS` rows. A word
+documents (random indexing), labelled or not: tasks sum in whole numbers and Spark adds the sums up by word. The most frequent
+words of all documents, `FREQUENT` or as many as equal frequency allows, have rows of their own, told apart by 64-bit hashes; rarer ones share `BUCKETS` rows. A word
 also has a shape (letter case, digits, signs, length, whether it repeats a word just before), which is a pseudo-word of its own. A document is the mean of its words' vectors, the mean of its
 shapes' vectors and its length, over the whole text. The network is trained with numpy on the driver; its
 temperature is fitted on training rows set aside. The model has a bounded size (about 4 MB) and is broadcast.
@@ -34,7 +34,7 @@ FREQUENT = 1 << 14
 BUCKETS, DIM, PARTS, REACH, HIDDEN, ROUNDS = 1 << 14, 32, 2, 2, 32, 60
 SHAPES = 1 << 11
 #: Rows whose sums travel together; distinct words that a task holds before it sends them on.
-ROWS, HELD = 256, 1 << 20
+ROWS, HELD = 256, 1 << 19
 _U = np.uint64
 
 
@@ -148,7 +148,10 @@ def _word_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """What word_vectors has for these texts, without Spark."""
     scans = [scan(pa.array(texts[at : at + 64], pa.large_string())) for at in range(0, len(texts), 64)]
     h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.hashes(0) for w in scans)]), return_counts=True)
-    frequent = np.sort(h[np.lexsort((h.view(np.int64), -n))[:FREQUENT]])
+    level = np.floor(np.log2(n) * 64)
+    every = np.unique(level)
+    fits = [x for x in every.tolist() if (level >= x).sum() <= FREQUENT]
+    frequent = np.sort(h[level >= min(fits)]) if fits else h[:0]
     total, parts = np.zeros((BUCKETS + len(frequent), DIM), np.int64), index_parts(BUCKETS + len(frequent), 11)
     for w in scans:
         _count(total, w, frequent, parts)
@@ -182,7 +185,16 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
                         held.clear()
         yield from out()
 
-    top = texts.mapInArrow(words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    counts = cut(texts.mapInArrow(words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    # How many words are about how frequent: a few thousand rows, from which the least frequency follows that still fits.
+    level = F.floor(F.log2("n") * 64).cast("int")
+    fits, least = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        fits += r["count"]
+        least = r.level if fits <= FREQUENT else r.level + 1
+        if fits > FREQUENT:
+            break
+    top = counts.where(level >= least).select("h").toArrow()
     frequent = np.sort(top.column("h").to_numpy().view(np.uint64))
     rows = BUCKETS + len(frequent)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -196,7 +208,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
                     yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + ROWS].tobytes()], pa.binary())], names=["at", "v"])
 
         for b in batches:
-            for part in slices(b, "text", 4 << 20):
+            for part in slices(b, "text", 1 << 20):
                 w = scan(part.column("text"))
                 if n + len(w.starts) > 1 << 26:  # 32 bits hold so many words
                     yield from out()
