@@ -32,8 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two rewirings until nothing changes: each node's larger neighbours are hung on its smallest one, then its
     smaller ones are. Each round halves long chains or better and ends in the shared checkpoint folder. Minima are taken by
-    pre-aggregation and written there too before they are joined back, so that both sides of the join are exchanged for it and
-    Spark can split a node with very many neighbours over tasks (`spark.sql.adaptive.skewJoin`).
+    pre-aggregation, and those of larger neighbours are written there too before they are joined back, so that both sides of that
+    join are exchanged for it and Spark can split a node with very many neighbours over tasks (`spark.sql.adaptive.skewJoin`).
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, last = cut(e), None
@@ -41,8 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = cut(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

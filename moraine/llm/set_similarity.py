@@ -24,7 +24,7 @@ from moraine.llm.components import components
 from moraine.llm.wordscan import mix64, scan, slices, windows
 
 #: Texts that are sampled to find frequent shingles, and how many of those are kept.
-SAMPLE, HOT = 10_000, 500_000
+SAMPLE, HOT = 10_000, 1 << 17
 #: Tables of so many keys count as small enough to broadcast.
 BROADCAST_KEYS = 200_000
 _EPS = 1e-9
