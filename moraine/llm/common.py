@@ -28,10 +28,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="moraine-"))
 
 
+#: Lets an execution remove its own shuffle files when it ends.
+_FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder now, so that later steps neither recompute it nor need its executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df to the shared checkpoint folder now, so that later steps neither recompute it nor need its executors.
+
+    Shuffle files of this one execution go when it ends: nothing reads them once the rows are in the shared folder.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_FREES, "false")
+    spark.conf.set(_FREES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_FREES, before)
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -26,7 +26,7 @@ from moraine.llm.wordscan import mix64, scan, slices, windows
 #: Texts that are sampled to find frequent shingles, and how many of those are kept.
 SAMPLE, HOT = 10_000, 1 << 17
 #: Tables of so many keys count as small enough to broadcast.
-BROADCAST_KEYS = 200_000
+BROADCAST_KEYS = 100_000
 _EPS = 1e-9
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -82,7 +82,7 @@ def frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.n
 
     share = min(1.0, SAMPLE / max(1, docs.count()))
     texts = docs.select(F.col(text).alias("text")).sample(share, 7) if share < 1 else docs.select(F.col(text).alias("text"))
-    top = texts.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(HOT).toArrow()
+    top = cut(texts.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(HOT)).toArrow()
     s, n = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
@@ -200,7 +200,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     need = cut(nodes.join(need, nodes["node"] == need["m"]).select("node", F.col("rep.id").alias("r_id"), F.col("rep.t1").alias("r1"), F.col("rep.t2").alias("r2")))
     need = small(need)
     texts = docs.join(need, (docs["t1"] == need["r1"]) & (docs["t2"] == need["r2"]) & docs["id"].eqNullSafe(need["r_id"])).select("node", "text")
-    sets = cut(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
+    sets = texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])  # one exchange, which both joins use
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
@@ -214,7 +214,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     hot = spark.sparkContext.broadcast(frequent(docs, text, shingle))
     rows = cut(keyed.mapInArrow(_describe(shingle, similarity, hot), "id long, t1 long, t2 long, a long, b long, n long, prefix array<long>"))
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("rep")
-    nodes = cut(cut(rows.groupBy("a", "b", "n").agg(rep, F.first("prefix").alias("prefix"))).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(rows.groupBy("a", "b", "n").agg(rep, F.first("prefix").alias("prefix"))).withColumn("node", F.monotonically_increasing_id())  # by place in the checkpoint, so the same in every use
     posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "s")).select("s", "node", "n", F.col("pos").cast("long").alias("pos"))
     met = cut(posts.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_met, "s long, node long, n long, pos long"))
     pairs = cut(met.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_pairs(similarity, False), "a long, b long").distinct())
