@@ -2,7 +2,9 @@
 
 Shingles have one order for all texts. Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of
 each, so only those are posted, and a pair counts where the sizes and what follows the shared shingle leave room for t. Rare
-shingles come first; what is rare is guessed from a sample of texts, which decides about the time taken, never about the result.
+shingles come first; what is rare is guessed from a sample of texts, which decides about the time taken, never about the result. Each set also has a bitmap in
+which each shingle flips one bit: sets that differ in d shingles differ in at most d bits, so a pair with more differing bits than t
+allows goes before any text is fetched.
 Equal sets are one node. A first round checks neighbours in each posting list only, a second one all pairs that are not in one
 component by then, so a large group of copies costs links in proportion to its size.
 
@@ -27,6 +29,8 @@ from moraine.llm.wordscan import mix64, scan, slices, windows
 SAMPLE, HOT = 10_000, 1 << 17
 #: Tables of so many keys count as small enough to broadcast.
 BROADCAST_KEYS = 100_000
+#: Columns of 64 bits that make up the bitmap of a set.
+BITS = ["m0", "m1", "m2", "m3"]
 _EPS = 1e-9
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -70,6 +74,14 @@ def _lists(per: np.ndarray, h: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(h.view(np.int64)))
 
 
+def bitmaps(per: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of each set a row of len(BITS) words, in which each of its shingles flips one bit."""
+    n, width = len(per) - 1, 64 * len(BITS)
+    place = ((mix64(h ^ _U(0x8CB92BA72F3D8DD7)) >> _U(32)) % _U(width)).astype(np.int64)
+    flips = np.bincount(np.repeat(np.arange(n), np.diff(per)) * width + place, minlength=n * width) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(n, len(BITS))
+
+
 def frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several sampled texts hold, and how many do."""
 
@@ -106,7 +118,8 @@ def _describe(shingle: int, similarity: float, hot) -> Callable:
                 first = np.where(n > 0, n - np.ceil(similarity * n - _EPS).astype(np.int64) + 1, 0)
                 within = np.arange(len(h)) - np.repeat(per[:-1], n) < np.repeat(first, n)
                 lists = _lists(np.r_[0, np.cumsum(first)], h[within])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *sums, pa.array(n.astype(np.int64)), lists], names=["id", "t1", "t2", "a", "b", "n", "prefix"])
+                bits = [pa.array(np.ascontiguousarray(m)) for m in bitmaps(per, h).T]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *sums, pa.array(n.astype(np.int64)), *bits, lists], names=["id", "t1", "t2", "a", "b", "n", *BITS, "prefix"])
 
     return run
 
@@ -150,7 +163,7 @@ def _pairs(similarity: float, every: bool) -> Callable:
             edge = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
             size = np.diff(np.r_[edge, len(cols[0])])
             if every:  # lists within one component go
-                comp = cols[4]
+                comp = cols[-1]
                 mixed = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
                 cols = [c[np.repeat(mixed, size)] for c in cols]
                 size = size[mixed]
@@ -171,9 +184,12 @@ def _pairs(similarity: float, every: bool) -> Callable:
                 ok = (s[0] == s[1]) & (low >= similarity * high - _EPS)
                 ok &= np.minimum(n[0] - pos[0], n[1] - pos[1]) >= similarity / (1 + similarity) * (low + high) - _EPS
                 if every:
-                    ok &= cols[4][:-shift] != cols[4][shift:]
-                if ok.any():
-                    found.append(np.stack([np.minimum(*node)[ok], np.maximum(*node)[ok]], axis=1))
+                    ok &= cols[-1][:-shift] != cols[-1][shift:]
+                at = np.flatnonzero(ok)
+                differ = sum(np.bitwise_count((m[at] ^ m[at + shift]).view(np.uint64)).astype(np.int64) for m in cols[4 : 4 + len(BITS)])
+                at = at[differ <= (1 - similarity) / (1 + similarity) * (low + high)[at] + _EPS]
+                if len(at):
+                    found.append(np.stack([np.minimum(*node)[at], np.maximum(*node)[at]], axis=1))
                     held += len(found[-1])
                 if held > 1 << 20:
                     yield out()
@@ -212,15 +228,16 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     spark = docs.sparkSession
     keyed, n = with_keys(docs, doc_id, text), int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(frequent(docs, text, shingle))
-    rows = cut(keyed.mapInArrow(_describe(shingle, similarity, hot), "id long, t1 long, t2 long, a long, b long, n long, prefix array<long>"))
+    rows = cut(keyed.mapInArrow(_describe(shingle, similarity, hot), f"id long, t1 long, t2 long, a long, b long, n long, {' long, '.join(BITS)} long, prefix array<long>"))
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("rep")
-    nodes = cut(rows.groupBy("a", "b", "n").agg(rep, F.first("prefix").alias("prefix"))).withColumn("node", F.monotonically_increasing_id())  # by place in the checkpoint, so the same in every use
+    nodes = cut(rows.groupBy("a", "b", "n").agg(rep, *(F.first(c).alias(c) for c in (*BITS, "prefix")))).withColumn("node", F.monotonically_increasing_id())  # by place in the checkpoint, so the same in every use
     posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "s")).select("s", "node", "n", F.col("pos").cast("long").alias("pos"))
-    met = cut(posts.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_met, "s long, node long, n long, pos long"))
+    met = posts.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_met, "s long, node long, n long, pos long")
+    met = cut(met.join(nodes.select("node", *BITS), "node").select("s", "node", "n", "pos", *BITS))
     pairs = cut(met.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_pairs(similarity, False), "a long, b long").distinct())
     links = cut(_verified(keyed, nodes, pairs, shingle, similarity))
     comp = components(links).withColumnRenamed("node", "c_node")
-    apart = met.join(comp, met["node"] == comp["c_node"], "left").select("s", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+    apart = met.join(comp, met["node"] == comp["c_node"], "left").select("s", "node", "n", "pos", *BITS, F.coalesce("component", "node").alias("component"))
     more = cut(apart.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_pairs(similarity, True), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         comp = components(links.unionByName(_verified(keyed, nodes, more, shingle, similarity))).withColumnRenamed("node", "c_node")
