@@ -5,8 +5,9 @@ each, so only those are posted, and a pair counts where the sizes and what follo
 shingles come first; what is rare is guessed from a sample of texts, which decides about the time taken, never about the result. Each set also has a bitmap in
 which each shingle flips one bit: sets that differ in d shingles differ in at most d bits, so a pair with more differing bits than t
 allows goes before any text is fetched.
-Equal sets are one node. A first round checks neighbours in each posting list only, a second one all pairs that are not in one
-component by then, so a large group of copies costs links in proportion to its size.
+Equal sets are one node. A first round checks neighbours in each posting list only, later ones those ever further apart, a last
+one all pairs, and the later ones leave out pairs that are in one component by then, so a large group of copies is joined by pairs
+in proportion to its size.
 
 Defined cases: words are runs of bytes other than blanks with A-Z lower-cased; a text of fewer words than a shingle is one
 shingle; null and empty texts are one node, similar to nothing else. Shingles are 64-bit hashes, sets are told apart by 128 bits.
@@ -31,6 +32,8 @@ SAMPLE, HOT = 10_000, 1 << 17
 BROADCAST_KEYS = 100_000
 #: Columns of 64 bits that make up the bitmap of a set.
 BITS = ["m0", "m1", "m2", "m3"]
+#: How far apart in a posting list the nodes of a pair may be, in each round; 0: any distance, so the last round misses nothing.
+REACHES = (1, 8, 64, 0)
 _EPS = 1e-9
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -155,18 +158,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], names=["s", "node", "n", "pos"])
 
 
-def _pairs(similarity: float, every: bool) -> Callable:
-    """Pairs of nodes of one list that can be similar: neighbours in the list, or (every) all of different components."""
+def _pairs(similarity: float, reach: int) -> Callable:
+    """Pairs of nodes of one list and of different components that can be similar, at most `reach` places apart (0: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in whole_groups(batches):
             edge = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
             size = np.diff(np.r_[edge, len(cols[0])])
-            if every:  # lists within one component go
-                comp = cols[-1]
-                mixed = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
-                cols = [c[np.repeat(mixed, size)] for c in cols]
-                size = size[mixed]
+            mixed = np.minimum.reduceat(cols[-1], edge) != np.maximum.reduceat(cols[-1], edge)
+            cols = [c[np.repeat(mixed, size)] for c in cols]  # lists within one component go
+            size = size[mixed]
             left, found, held = np.repeat(size, size), [], 0
 
             def out() -> pa.RecordBatch:
@@ -174,7 +175,8 @@ def _pairs(similarity: float, every: bool) -> Callable:
                 found.clear()
                 return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
 
-            for shift in range(1, int(size.max(initial=1)) if every else 2):
+            longest = int(size.max(initial=1))
+            for shift in range(1, min(longest, reach + 1) if reach else longest):
                 live = left > shift
                 cols, left = [c[live] for c in cols], left[live]
                 if len(left) <= shift:
@@ -183,8 +185,7 @@ def _pairs(similarity: float, every: bool) -> Callable:
                 low, high = np.minimum(*n), np.maximum(*n)
                 ok = (s[0] == s[1]) & (low >= similarity * high - _EPS)
                 ok &= np.minimum(n[0] - pos[0], n[1] - pos[1]) >= similarity / (1 + similarity) * (low + high) - _EPS
-                if every:
-                    ok &= cols[-1][:-shift] != cols[-1][shift:]
+                ok &= cols[-1][:-shift] != cols[-1][shift:]
                 at = np.flatnonzero(ok)
                 differ = sum(np.bitwise_count((m[at] ^ m[at + shift]).view(np.uint64)).astype(np.int64) for m in cols[4 : 4 + len(BITS)])
                 at = at[differ <= (1 - similarity) / (1 + similarity) * (low + high)[at] + _EPS]
@@ -234,13 +235,23 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "s")).select("s", "node", "n", F.col("pos").cast("long").alias("pos"))
     met = posts.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_met, "s long, node long, n long, pos long")
     met = cut(met.join(nodes.select("node", *BITS), "node").select("s", "node", "n", "pos", *BITS))
-    pairs = cut(met.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_pairs(similarity, False), "a long, b long").distinct())
-    links = cut(_verified(keyed, nodes, pairs, shingle, similarity))
-    comp = components(links).withColumnRenamed("node", "c_node")
-    apart = met.join(comp, met["node"] == comp["c_node"], "left").select("s", "node", "n", "pos", *BITS, F.coalesce("component", "node").alias("component"))
-    more = cut(apart.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_pairs(similarity, True), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        comp = components(links.unionByName(_verified(keyed, nodes, more, shingle, similarity))).withColumnRenamed("node", "c_node")
-    named = nodes.select("node", F.col("a").alias("n_a"), F.col("b").alias("n_b"), F.col("n").alias("n_n")).join(comp, F.col("node") == comp["c_node"], "left")
-    named = cut(named.select("n_a", "n_b", "n_n", F.coalesce("component", "node").alias("root")))
+    seen = links = comp = None
+    for reach in REACHES:
+        if comp is None:
+            apart = met.withColumn("component", F.col("node"))
+        else:
+            apart = met.join(comp, met["node"] == comp["c_node"], "left").select("s", "node", "n", "pos", *BITS, F.coalesce("component", "node").alias("component"))
+        found = apart.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_pairs(similarity, reach), "a long, b long").distinct()
+        found = cut(found if seen is None else found.join(seen, ["a", "b"], "left_anti"))
+        if found.isEmpty():
+            continue
+        new = cut(_verified(keyed, nodes, found, shingle, similarity))
+        seen, links = (found, new) if seen is None else (seen.unionByName(found), links.unionByName(new))
+        comp = components(links).withColumnRenamed("node", "c_node")
+    named = nodes.select("node", F.col("a").alias("n_a"), F.col("b").alias("n_b"), F.col("n").alias("n_n"))
+    if comp is None:
+        named = named.withColumn("root", F.col("node"))
+    else:
+        named = named.join(comp, F.col("node") == comp["c_node"], "left").withColumn("root", F.coalesce("component", "node"))
+    named = cut(named.select("n_a", "n_b", "n_n", "root"))
     return rows.join(named, (rows["a"] == named["n_a"]) & (rows["b"] == named["n_b"]) & (rows["n"] == named["n_n"])).select("id", "t1", "t2", "root")

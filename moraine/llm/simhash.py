@@ -224,7 +224,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     if similarity is None and shingle != SHINGLE:
         raise ValueError("fingerprints have a fixed shingle; name a similarity")
     rows = cut(_grouped(docs, doc_id, text) if similarity is None else grouped(docs, doc_id, text, shingle, similarity))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("first"))
+    first = cut(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("first")))  # so that Spark can split a large group in the join
     apart = rows.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))))
     names = {c: fresh(docs, f"gone_{c}") for c in ("id", "t1", "t2")}
     gone = small(cut(apart.select("id", "t1", "t2").distinct().withColumnsRenamed(names)))
