@@ -5,8 +5,8 @@ each, so only those are posted, and a pair counts where the sizes and what follo
 shingles come first; what is rare is guessed from a sample of texts, which decides about the time taken, never about the result. Each set also has a bitmap in
 which each shingle flips one bit: sets that differ in d shingles differ in at most d bits, so a pair with more differing bits than t
 allows goes before any text is fetched.
-Equal sets are one node. A first round checks neighbours in each posting list only, later ones those ever further apart, a last
-one all pairs, and the later ones leave out pairs that are in one component by then, so a large group of copies is joined by pairs
+Equal sets are one node. A first round checks pairs at most a bounded number of places apart in each posting list, a last
+one all pairs that are not in one component by then, so a large group of copies is joined by pairs mostly
 in proportion to its size.
 
 Defined cases: words are runs of bytes other than blanks with A-Z lower-cased; a text of fewer words than a shingle is one
@@ -33,7 +33,7 @@ BROADCAST_KEYS = 100_000
 #: Columns of 64 bits that make up the bitmap of a set.
 BITS = ["m0", "m1", "m2", "m3"]
 #: How far apart in a posting list the nodes of a pair may be, in each round; 0: any distance, so the last round misses nothing.
-REACHES = (1, 8, 64, 0)
+REACHES = (64, 0)
 _EPS = 1e-9
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
