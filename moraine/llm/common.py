@@ -47,6 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_FREES, before)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of a frame that `cut` gave and that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -19,10 +19,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import cut
+from moraine.llm.common import cut, forget
 from moraine.llm.components import components
 from moraine.llm.wordscan import mix64, scan, slices, windows
 
@@ -30,6 +30,8 @@ from moraine.llm.wordscan import mix64, scan, slices, windows
 SAMPLE, HOT = 10_000, 1 << 17
 #: Tables of so many keys count as small enough to broadcast.
 BROADCAST_KEYS = 100_000
+#: Shingles that one join of pairs carries: this share of those of all nodes, or so many if that is more.
+SHARE, FEW = 0.4, 1 << 23
 #: Columns of 64 bits that make up the bitmap of a set.
 BITS = ["m0", "m1", "m2", "m3"]
 #: How far apart in a posting list the nodes of a pair may be, in each round; 0: any distance, so the last round misses nothing.
@@ -205,23 +207,74 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    """A Bloom filter of 64-bit keys: at least 16 bits a key, three of them set."""
+    out = np.zeros(1 << max(10, (16 * len(keys)).bit_length() - 3), np.uint8)
+    for at in _places(keys, out):
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out
+
+
+def _places(keys: np.ndarray, sieve: np.ndarray) -> list[np.ndarray]:
+    k = keys.view(np.uint64)
+    return [(mix64(k ^ _U(seed)) & _U(8 * len(sieve) - 1)).astype(np.int64) for seed in (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+
+
+def _sets(docs: DataFrame, need: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes needed (node, key, r_id, r1, r2). Texts stay where they are: a sieve of keys picks the rows whose sets move."""
+    spark = docs.sparkSession
+    sieve = spark.sparkContext.broadcast(_sieve(need.select("key").toArrow().column("key").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(*shingle_sets(part.column("text"), shingle, _NONE))], names=["node", "shingles"])
+            key = b.column(0).to_numpy()
+            hit = np.ones(len(key), bool)
+            for at in _places(key, sieve.value):
+                hit &= sieve.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+            for part in slices(b.filter(pa.array(hit)), "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], _lists(*shingle_sets(part.column("text"), shingle, _NONE))], names=["key", "id", "t1", "t2", "shingles"])
+
+    keyed = docs.select(_row_key("id", "t1", "t2").alias("key"), "id", "t1", "t2", "text")
+    found = keyed.mapInArrow(run, "key long, id long, t1 long, t2 long, shingles array<long>")
+    same = (found["key"] == need["key"]) & (found["t1"] == need["r1"]) & (found["t2"] == need["r2"]) & found["id"].eqNullSafe(need["r_id"])
+    return found.join(small(need), same).select("node", "shingles").dropDuplicates(["node"])
+
+
+def _row_key(*columns: str) -> Column:
+    return F.xxhash64(*columns)
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, comp: DataFrame | None, shingle: int, similarity: float) -> DataFrame | None:
+    """comp (c_node, component; None: no node has one) after the pairs (a, b) whose sets are similar are joined.
 
+    A pair carries a whole set through a join, so pairs go in slices that carry a bounded share of all shingles, and those whose nodes
+    the slices before have joined are left out.
+    """
     need = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
-    need = cut(nodes.join(need, nodes["node"] == need["m"]).select("node", F.col("rep.id").alias("r_id"), F.col("rep.t1").alias("r1"), F.col("rep.t2").alias("r2")))
-    need = small(need)
-    texts = docs.join(need, (docs["t1"] == need["r1"]) & (docs["t2"] == need["r2"]) & docs["id"].eqNullSafe(need["r_id"])).select("node", "text")
-    sets = texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])  # one exchange, which both joins use
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return both.where(F.col("i") >= F.lit(similarity) * (F.col("n") - F.col("i")) - F.lit(_EPS)).select("a", "b")
+    rep = [F.col("rep.id").alias("r_id"), F.col("rep.t1").alias("r1"), F.col("rep.t2").alias("r2")]
+    need = cut(nodes.join(need, nodes["node"] == need["m"]).select("node", _row_key("rep.id", "rep.t1", "rep.t2").alias("key"), *rep))
+    sets = cut(_sets(docs, need, shingle))
+    most, seed = max(FEW, int(SHARE * nodes.agg(F.sum("n")).first()[0])), 0
+    while True:
+        carried = pairs.join(nodes.select(F.col("node").alias("a"), "n"), "a").agg(F.sum("n")).first()[0] or 0
+        parts = -(-carried // most)
+        mine = F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(max(1, parts))) == 0
+        x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        both = pairs.where(mine).join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+        new = cut(both.where(F.col("i") >= F.lit(similarity) * (F.col("n") - F.col("i")) - F.lit(_EPS)).select("a", "b"))
+        if not new.isEmpty():
+            edges = new if comp is None else new.unionByName(comp.select(F.col("c_node").alias("a"), F.col("component").alias("b")))
+            comp = cut(components(edges).withColumnRenamed("node", "c_node"))
+        if parts <= 1:
+            break
+        pairs, seed = pairs.where(~mine), seed + 1
+        if comp is not None:
+            x, y = (comp.select(F.col("c_node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+            pairs = pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+        pairs = cut(pairs)
+    forget(sets)
+    return comp
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -229,13 +282,19 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     spark = docs.sparkSession
     keyed, n = with_keys(docs, doc_id, text), int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(frequent(docs, text, shingle))
-    rows = cut(keyed.mapInArrow(_describe(shingle, similarity, hot), f"id long, t1 long, t2 long, a long, b long, n long, {' long, '.join(BITS)} long, prefix array<long>"))
+    fat = cut(keyed.mapInArrow(_describe(shingle, similarity, hot), f"id long, t1 long, t2 long, a long, b long, n long, {' long, '.join(BITS)} long, prefix array<long>"))
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("rep")
-    nodes = cut(rows.groupBy("a", "b", "n").agg(rep, *(F.first(c).alias(c) for c in (*BITS, "prefix")))).withColumn("node", F.monotonically_increasing_id())  # by place in the checkpoint, so the same in every use
-    posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "s")).select("s", "node", "n", F.col("pos").cast("long").alias("pos"))
-    met = posts.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_met, "s long, node long, n long, pos long")
-    met = cut(met.join(nodes.select("node", *BITS), "node").select("s", "node", "n", "pos", *BITS))
-    seen = links = comp = None
+    rows = cut(fat.select("id", "t1", "t2", "a", "b", "n"))
+    full = cut(fat.groupBy("a", "b", "n").agg(rep, *(F.first(c).alias(c) for c in (*BITS, "prefix"))))
+    forget(fat)
+    named = full.withColumn("node", F.monotonically_increasing_id())  # by place in the checkpoint, so the same in every use
+    nodes = cut(named.drop("prefix"))
+    posts = named.select("node", "n", F.posexplode("prefix").alias("pos", "s")).select("s", "node", "n", F.col("pos").cast("long").alias("pos"))
+    shared = cut(posts.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_met, "s long, node long, n long, pos long"))
+    forget(full)
+    met = cut(shared.join(nodes.select("node", *BITS), "node").select("s", "node", "n", "pos", *BITS))
+    forget(shared)
+    seen = comp = None
     for reach in REACHES:
         if comp is None:
             apart = met.withColumn("component", F.col("node"))
@@ -245,9 +304,9 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
         found = cut(found if seen is None else found.join(seen, ["a", "b"], "left_anti"))
         if found.isEmpty():
             continue
-        new = cut(_verified(keyed, nodes, found, shingle, similarity))
-        seen, links = (found, new) if seen is None else (seen.unionByName(found), links.unionByName(new))
-        comp = components(links).withColumnRenamed("node", "c_node")
+        seen = found if seen is None else seen.unionByName(found)
+        comp = _verified(keyed, nodes, found, comp, shingle, similarity)
+    forget(met)
     named = nodes.select("node", F.col("a").alias("n_a"), F.col("b").alias("n_b"), F.col("n").alias("n_n"))
     if comp is None:
         named = named.withColumn("root", F.col("node"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from moraine.llm import components, embedding_dedup, line_dedup, simhash, substring_dedup, wordscan
+from moraine.llm import components, embedding_dedup, line_dedup, set_similarity, simhash, substring_dedup, wordscan
 
 DOCS = "doc_id long, text string, source string, line_dedup string"
 
@@ -282,6 +283,39 @@ def test_rows_that_share_an_id_are_documents_of_their_own(spark, options):
     assert got == [(0, 0), (0, 1), (0, 2), (0, 6), (3, 5), (7, 3), (7, 4)]
 
 
+def near_copies(n, seed=12):
+    """n texts in families of near copies, some of them just above the threshold and some below."""
+    r = random.Random(seed)
+    rows = []
+    while len(rows) < n:
+        w = [f"q{r.randrange(10**6)}" for _ in range(r.randint(150, 300))]
+        for _ in range(r.randint(1, 8)):
+            w = list(w)
+            for _ in range(r.randint(0, 6)):
+                w[r.randrange(len(w))] = f"q{r.randrange(10**6)}"
+            rows.append(" ".join(w))
+    return rows[:n]
+
+
+def test_near_copies_leave_little_on_disk(spark, monkeypatch):
+    rows = near_copies(1500)
+    want = jaccard_groups(rows[:300])
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_one(d.where("doc_id < 300"), shingle=5, similarity=0.8).collect()) == sorted(set(want.values()))
+
+    def used():
+        at = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+        return sum(f.stat().st_size for f in at.rglob("*") if f.is_file())
+
+    before = used()
+    assert len({x.doc_id for x in simhash.keep_one(d, shingle=5, similarity=0.8).collect()}) < len(rows)
+    assert used() - before < sum(map(len, rows)) / 2
+    # In many slices, the same.
+    monkeypatch.setattr(set_similarity, "FEW", 20_000)
+    monkeypatch.setattr(set_similarity, "SHARE", 0.0)
+    assert sorted(x.doc_id for x in simhash.keep_one(d.where("doc_id < 300"), shingle=5, similarity=0.8).collect()) == sorted(set(want.values()))
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(1, i) for i in range(200, 400)]
