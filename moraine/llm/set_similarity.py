@@ -1,12 +1,15 @@
-"""Near-dedup by Jaccard similarity of word shingles, without loss: prefix filtering, then a check of the shingles themselves.
+"""Near-dedup by Jaccard similarity of word shingles, without loss: SimHash links first, prefix filtering for the rest, and a check of the shingles themselves.
+
+Each set has a fingerprint, and sets whose fingerprints ball hashing links are checked first. Similar sets may be further apart
+than balls reach (at 0.8 about 10 of 64 bits), so what is not in one component by then is looked for in the shingles.
 
 Shingles have one order for all texts. Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of
 each, so only those are posted, and a pair counts where the sizes and what follows the shared shingle leave room for t. Rare
 shingles come first; what is rare is guessed from a sample of texts, which decides about the time taken, never about the result. Each set also has a bitmap in
 which each shingle flips one bit: sets that differ in d shingles differ in at most d bits, so a pair with more differing bits than t
 allows goes before any text is fetched.
-Equal sets are one node. A first round checks pairs at most a bounded number of places apart in each posting list, a last
-one all pairs that are not in one component by then, so a large group of copies is joined by pairs mostly
+Equal sets are one node. After the fingerprints a round checks pairs at most a bounded number of places apart in each posting list,
+and a last one all pairs that are not in one component by then, so a large group of copies is joined by pairs mostly
 in proportion to its size.
 
 Defined cases: words are runs of bytes other than blanks with A-Z lower-cased; a text of fewer words than a shingle is one
@@ -87,6 +90,21 @@ def bitmaps(per: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(n, len(BITS))
 
 
+def fingerprints(per: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: a bit is 1 if over half the shingles' hashes have it; 0 without shingles."""
+    n, out = np.diff(per), np.zeros(len(per) - 1, np.uint64)
+    some = np.flatnonzero(n > 0)
+    at = 0
+    while at < len(some):  # about a million shingles at a time, or one set
+        to = max(at + 1, int(np.searchsorted(per[some + 1], per[some[at]] + (1 << 20), side="right")))
+        own, first = some[at:to], per[some[at]]
+        bits = np.unpackbits(mix64(h[first : per[own[-1] + 1]] ^ _U(0xA0761D6478BD642F)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total = np.add.reduceat(bits, per[own] - first, axis=0, dtype=np.int64)
+        out[own] = np.packbits(total * 2 > n[own][:, None], axis=1).view(">u8").ravel()
+        at = to
+    return out
+
+
 def frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several sampled texts hold, and how many do."""
 
@@ -124,7 +142,8 @@ def _describe(shingle: int, similarity: float, hot) -> Callable:
                 within = np.arange(len(h)) - np.repeat(per[:-1], n) < np.repeat(first, n)
                 lists = _lists(np.r_[0, np.cumsum(first)], h[within])
                 bits = [pa.array(np.ascontiguousarray(m)) for m in bitmaps(per, h).T]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *sums, pa.array(n.astype(np.int64)), *bits, lists], names=["id", "t1", "t2", "a", "b", "n", *BITS, "prefix"])
+                fp = pa.array(fingerprints(per, h).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *sums, pa.array(n.astype(np.int64)), fp, *bits, lists], names=["id", "t1", "t2", "a", "b", "n", "fp", *BITS, "prefix"])
 
     return run
 
@@ -277,15 +296,29 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, comp: DataFra
     return comp
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, t1, t2, root): one row for each row of docs; rows that a chain of similar sets joins have one root."""
+def _by_fingerprint(nodes: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b: each node with the first one of its fingerprint, and that one with the first one of the fingerprint that links reach."""
+    some = nodes.where("n > 0")
+    heads = cut(some.groupBy("fp").agg(F.min("node").alias("head")))
+    met = cut(links(heads.select("fp")))
+    x, y = (heads.select(F.col("fp").alias(f), F.col("head").alias(h)) for f, h in (("a", "x"), ("b", "y")))
+    between = met.join(x, "a").join(y, "b").select("x", "y")
+    within = some.join(heads, "fp").where(F.col("node") != F.col("head")).select(F.col("node").alias("x"), F.col("head").alias("y"))
+    return between.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def grouped(docs: DataFrame, links: Callable[[DataFrame], DataFrame], doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, t1, t2, root): one row for each row of docs; rows that a chain of similar sets joins have one root.
+
+    links: of distinct fingerprints (fp), pairs (a, b) of them that are near each other.
+    """
     spark = docs.sparkSession
     keyed, n = with_keys(docs, doc_id, text), int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(frequent(docs, text, shingle))
-    fat = cut(keyed.mapInArrow(_describe(shingle, similarity, hot), f"id long, t1 long, t2 long, a long, b long, n long, {' long, '.join(BITS)} long, prefix array<long>"))
+    fat = cut(keyed.mapInArrow(_describe(shingle, similarity, hot), f"id long, t1 long, t2 long, a long, b long, n long, fp long, {' long, '.join(BITS)} long, prefix array<long>"))
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("rep")
     rows = cut(fat.select("id", "t1", "t2", "a", "b", "n"))
-    full = cut(fat.groupBy("a", "b", "n").agg(rep, *(F.first(c).alias(c) for c in (*BITS, "prefix"))))
+    full = cut(fat.groupBy("a", "b", "n").agg(rep, *(F.first(c).alias(c) for c in ("fp", *BITS, "prefix"))))
     forget(fat)
     named = full.withColumn("node", F.monotonically_increasing_id())  # by place in the checkpoint, so the same in every use
     nodes = cut(named.drop("prefix"))
@@ -294,17 +327,20 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     forget(full)
     met = cut(shared.join(nodes.select("node", *BITS), "node").select("s", "node", "n", "pos", *BITS))
     forget(shared)
-    seen = comp = None
+    comp = None
+    seen = cut(_by_fingerprint(nodes, links))
+    if not seen.isEmpty():
+        comp = _verified(keyed, nodes, seen, comp, shingle, similarity)
     for reach in REACHES:
         if comp is None:
             apart = met.withColumn("component", F.col("node"))
         else:
             apart = met.join(comp, met["node"] == comp["c_node"], "left").select("s", "node", "n", "pos", *BITS, F.coalesce("component", "node").alias("component"))
         found = apart.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_pairs(similarity, reach), "a long, b long").distinct()
-        found = cut(found if seen is None else found.join(seen, ["a", "b"], "left_anti"))
+        found = cut(found.join(seen, ["a", "b"], "left_anti"))
         if found.isEmpty():
             continue
-        seen = found if seen is None else seen.unionByName(found)
+        seen = seen.unionByName(found)
         comp = _verified(keyed, nodes, found, comp, shingle, similarity)
     forget(met)
     named = nodes.select("node", F.col("a").alias("n_a"), F.col("b").alias("n_b"), F.col("n").alias("n_n"))

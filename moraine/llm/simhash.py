@@ -218,12 +218,12 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """docs' rows and columns, of each group of near duplicates only the row with the smallest id (null last; of one id, by a hash of the text).
 
-    Near duplicates are texts whose sets of shingles have at least this Jaccard similarity, or without one, fingerprints at RADIUS or
-    fewer bits. Rows that share an id, null too, are documents of their own: one goes only if its own text links to a row that stays.
+    Near duplicates are texts whose sets of shingles have at least this Jaccard similarity (pairs that fingerprints link are checked for
+    it first, prefix filtering finds those beyond RADIUS), or without one, fingerprints at RADIUS or fewer bits. Rows that share an id, null too, are documents of their own: one goes only if its own text links to a row that stays.
     """
     if similarity is None and shingle != SHINGLE:
         raise ValueError("fingerprints have a fixed shingle; name a similarity")
-    rows = cut(_grouped(docs, doc_id, text) if similarity is None else grouped(docs, doc_id, text, shingle, similarity))
+    rows = cut(_grouped(docs, doc_id, text) if similarity is None else grouped(docs, links, doc_id, text, shingle, similarity))
     first = cut(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("first")))  # so that Spark can split a large group in the join
     apart = rows.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))))
     names = {c: fresh(docs, f"gone_{c}") for c in ("id", "t1", "t2")}

@@ -283,6 +283,30 @@ def test_rows_that_share_an_id_are_documents_of_their_own(spark, options):
     assert got == [(0, 0), (0, 1), (0, 2), (0, 6), (3, 5), (7, 3), (7, 4)]
 
 
+def test_near_copies_meet_by_fingerprint_first(spark, monkeypatch):
+    r = random.Random(13)
+    rows = [None, "a b"]
+    for k in range(120):  # pairs of texts, so that a link is a pair
+        w = [f"f{r.randrange(10**6)}" for _ in range(300)]
+        rows.append(" ".join(w))
+        for _ in range(k % 8):
+            w[r.randrange(len(w))] = f"f{r.randrange(10**6)}"
+        rows.append(" ".join(w))
+    per, h = set_similarity.shingle_sets(pa.array(rows), 5, set_similarity._NONE)
+    fps = []
+    for i in range(len(rows)):
+        own = wordscan.mix64(h[per[i] : per[i + 1]] ^ np.uint64(0xA0761D6478BD642F)).tolist()
+        fps.append(sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in own) > len(own)))
+    assert fps == set_similarity.fingerprints(per, h).tolist()
+    near = jaccard_groups(rows)
+    gone = {i + 1 for i in range(2, len(rows), 2) if near[i] == near[i + 1] and (fps[i] ^ fps[i + 1]).bit_count() <= simhash.RADIUS}
+    assert 20 < len(gone) < len(rows) - len(set(near.values()))  # balls find some, the shingles the rest
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {x.doc_id for x in simhash.keep_one(d, shingle=5, similarity=0.8).collect()} == set(near.values())
+    monkeypatch.setattr(set_similarity, "REACHES", ())
+    assert {x.doc_id for x in simhash.keep_one(d, shingle=5, similarity=0.8).collect()} == set(range(len(rows))) - gone
+
+
 def near_copies(n, seed=12):
     """n texts in families of near copies, some of them just above the threshold and some below."""
     r = random.Random(seed)
