@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm.common import cut, forget
-from moraine.llm.components import components
+from moraine.llm.components import components, forest
 from moraine.llm.wordscan import mix64, scan, slices, windows
 
 #: Texts that are sampled to find frequent shingles, and how many of those are kept.
@@ -34,7 +34,9 @@ SAMPLE, HOT = 10_000, 1 << 17
 #: Tables of so many keys count as small enough to broadcast.
 BROADCAST_KEYS = 100_000
 #: Shingles that one join of pairs carries: this share of those of all nodes, or so many if that is more.
-SHARE, FEW = 0.4, 1 << 23
+SHARE, FEW = 0.8, 1 << 23
+#: Edges that one task joins to components; more are joined by the whole cluster.
+ONE_TASK = 1 << 18
 #: Columns of 64 bits that make up the bitmap of a set.
 BITS = ["m0", "m1", "m2", "m3"]
 #: How far apart in a posting list the nodes of a pair may be, in each round; 0: any distance, so the last round misses nothing.
@@ -92,16 +94,18 @@ def bitmaps(per: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def fingerprints(per: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The SimHash of each set: a bit is 1 if over half the shingles' hashes have it; 0 without shingles."""
-    n, out = np.diff(per), np.zeros(len(per) - 1, np.uint64)
-    some = np.flatnonzero(n > 0)
-    at = 0
-    while at < len(some):  # about a million shingles at a time, or one set
-        to = max(at + 1, int(np.searchsorted(per[some + 1], per[some[at]] + (1 << 20), side="right")))
-        own, first = some[at:to], per[some[at]]
-        bits = np.unpackbits(mix64(h[first : per[own[-1] + 1]] ^ _U(0xA0761D6478BD642F)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.add.reduceat(bits, per[own] - first, axis=0, dtype=np.int64)
-        out[own] = np.packbits(total * 2 > n[own][:, None], axis=1).view(">u8").ravel()
-        at = to
+    n = np.diff(per)
+    some, out = np.flatnonzero(n > 0), np.zeros(len(n), np.uint64)
+    if not len(some):
+        return out
+    x, at = mix64(h ^ _U(0xA0761D6478BD642F)), per[some]
+    width = 16 if int(n.max()) < 1 << 16 else 32  # bits of a counter: several counters a word are summed at once
+    lanes = _U(sum(1 << i for i in range(0, 64, width)))
+    for k in range(width):
+        sums = np.add.reduceat(x >> _U(k) & lanes, at)
+        for i in range(0, 64, width):
+            count = (sums >> _U(i) & _U((1 << width) - 1)).astype(np.int64)
+            out[some] |= (2 * count > n[some]).astype(np.uint64) << _U(i + k)
     return out
 
 
@@ -263,6 +267,16 @@ def _row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of edges (a, b), which are in the checkpoint folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate(x) for x in zip((_NONE[1], _NONE[1]), *((c.to_numpy() for c in b.columns) for b in batches), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(a, b)], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long") if edges.count() <= ONE_TASK else components(edges)
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, comp: DataFrame | None, shingle: int, similarity: float) -> DataFrame | None:
     """comp (c_node, component; None: no node has one) after the pairs (a, b) whose sets are similar are joined.
 
@@ -284,7 +298,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, comp: DataFra
         new = cut(both.where(F.col("i") >= F.lit(similarity) * (F.col("n") - F.col("i")) - F.lit(_EPS)).select("a", "b"))
         if not new.isEmpty():
             edges = new if comp is None else new.unionByName(comp.select(F.col("c_node").alias("a"), F.col("component").alias("b")))
-            comp = cut(components(edges).withColumnRenamed("node", "c_node"))
+            comp = cut(_joined(edges).withColumnRenamed("node", "c_node"))
         if parts <= 1:
             break
         pairs, seed = pairs.where(~mine), seed + 1

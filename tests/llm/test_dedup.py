@@ -298,6 +298,9 @@ def test_near_copies_meet_by_fingerprint_first(spark, monkeypatch):
         own = wordscan.mix64(h[per[i] : per[i + 1]] ^ np.uint64(0xA0761D6478BD642F)).tolist()
         fps.append(sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in own) > len(own)))
     assert fps == set_similarity.fingerprints(per, h).tolist()
+    many = np.random.default_rng(1).integers(0, 2**64, 70_000, dtype=np.uint64)  # more than 16 bits count
+    bits = np.unpackbits(wordscan.mix64(many ^ np.uint64(0xA0761D6478BD642F)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) > 35_000
+    assert set_similarity.fingerprints(np.array([0, 0, 70_000]), many).tolist() == [0, int("".join("01"[x] for x in bits.tolist()), 2)]
     near = jaccard_groups(rows)
     gone = {i + 1 for i in range(2, len(rows), 2) if near[i] == near[i + 1] and (fps[i] ^ fps[i + 1]).bit_count() <= simhash.RADIUS}
     assert 20 < len(gone) < len(rows) - len(set(near.values()))  # balls find some, the shingles the rest
@@ -337,6 +340,7 @@ def test_near_copies_leave_little_on_disk(spark, monkeypatch):
     # In many slices, the same.
     monkeypatch.setattr(set_similarity, "FEW", 20_000)
     monkeypatch.setattr(set_similarity, "SHARE", 0.0)
+    monkeypatch.setattr(set_similarity, "ONE_TASK", 40)
     assert sorted(x.doc_id for x in simhash.keep_one(d.where("doc_id < 300"), shingle=5, similarity=0.8).collect()) == sorted(set(want.values()))
 
 
