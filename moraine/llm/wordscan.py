@@ -120,7 +120,9 @@ def windows(h: np.ndarray, n: int, salt: int) -> np.ndarray:
             done[k] = mix64(x[:m] * _U(0x9E3779B97F4A7C15) + y[a : a + m] + _U(salt + k))
         return done[k]
 
-    return run(n)
+    out = run(n)
+    done.clear()  # run refers to itself, so what it holds would stay until the garbage collector comes
+    return out
 
 
 def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:

@@ -1,8 +1,10 @@
 """Line, substring, SimHash and embedding dedup against brute force."""
 
+import gc
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import defaultdict
 from pathlib import Path
 
@@ -310,6 +312,21 @@ def test_near_copies_meet_by_fingerprint_first(spark, monkeypatch):
     assert {x.doc_id for x in simhash.keep_one(d, shingle=5, similarity=0.8).collect()} == set(range(len(rows))) - gone
 
 
+def test_windows_leave_no_memory_behind():
+    h = np.arange(200_000, dtype=np.uint64)
+    wordscan.windows(h, 20, 1)
+    gc.disable()
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in range(3):
+            wordscan.windows(h, 20, 1)
+        assert tracemalloc.get_traced_memory()[0] - before < h.nbytes
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+
+
 def near_copies(n, seed=12):
     """n texts in families of near copies, some of them just above the threshold and some below."""
     r = random.Random(seed)
