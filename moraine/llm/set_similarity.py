@@ -34,7 +34,7 @@ SAMPLE, HOT = 10_000, 1 << 17
 #: Tables of so many keys count as small enough to broadcast.
 BROADCAST_KEYS = 100_000
 #: Shingles that one join of pairs carries: this share of those of all nodes, or so many if that is more.
-SHARE, FEW = 0.8, 1 << 23
+SHARE, FEW = 0.4, 1 << 23
 #: Edges that one task joins to components; more are joined by the whole cluster.
 ONE_TASK = 1 << 18
 #: Columns of 64 bits that make up the bitmap of a set.
@@ -244,23 +244,29 @@ def _places(keys: np.ndarray, sieve: np.ndarray) -> list[np.ndarray]:
 
 
 def _sets(docs: DataFrame, need: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the nodes needed (node, key, r_id, r1, r2). Texts stay where they are: a sieve of keys picks the rows whose sets move."""
-    spark = docs.sparkSession
-    sieve = spark.sparkContext.broadcast(_sieve(need.select("key").toArrow().column("key").to_numpy()))
+    """(node, shingles) of the nodes needed (node, key, r_id, r1, r2). Texts stay where they are: the keys, or if they are many a sieve of them, pick the rows whose sets move."""
+    keyed = docs.select(_row_key("id", "t1", "t2").alias("key"), "id", "t1", "t2", "text")
+    few = need.count() <= BROADCAST_KEYS
+    if few:  # so that only their texts go to Python
+        sieve = None
+        keyed = keyed.join(F.broadcast(need.select("key")), "key", "left_semi")
+    else:
+        sieve = docs.sparkSession.sparkContext.broadcast(_sieve(need.select("key").toArrow().column("key").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column(0).to_numpy()
-            hit = np.ones(len(key), bool)
-            for at in _places(key, sieve.value):
-                hit &= sieve.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-            for part in slices(b.filter(pa.array(hit)), "text", 1 << 20):
+            if sieve is not None:
+                key = b.column(0).to_numpy()
+                hit = np.ones(len(key), bool)
+                for at in _places(key, sieve.value):
+                    hit &= sieve.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+                b = b.filter(pa.array(hit))
+            for part in slices(b, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], _lists(*shingle_sets(part.column("text"), shingle, _NONE))], names=["key", "id", "t1", "t2", "shingles"])
 
-    keyed = docs.select(_row_key("id", "t1", "t2").alias("key"), "id", "t1", "t2", "text")
     found = keyed.mapInArrow(run, "key long, id long, t1 long, t2 long, shingles array<long>")
     same = (found["key"] == need["key"]) & (found["t1"] == need["r1"]) & (found["t2"] == need["r2"]) & found["id"].eqNullSafe(need["r_id"])
-    return found.join(small(need), same).select("node", "shingles").dropDuplicates(["node"])
+    return found.join(F.broadcast(need) if few else need, same).select("node", "shingles").dropDuplicates(["node"])
 
 
 def _row_key(*columns: str) -> Column:

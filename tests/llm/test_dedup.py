@@ -358,6 +358,7 @@ def test_near_copies_leave_little_on_disk(spark, monkeypatch):
     monkeypatch.setattr(set_similarity, "FEW", 20_000)
     monkeypatch.setattr(set_similarity, "SHARE", 0.0)
     monkeypatch.setattr(set_similarity, "ONE_TASK", 40)
+    monkeypatch.setattr(set_similarity, "BROADCAST_KEYS", 10)
     assert sorted(x.doc_id for x in simhash.keep_one(d.where("doc_id < 300"), shingle=5, similarity=0.8).collect()) == sorted(set(want.values()))
 
 
