@@ -4,13 +4,13 @@ Each set has a fingerprint, and sets whose fingerprints ball hashing links are c
 than balls reach (at 0.8 about 10 of 64 bits), so what is not in one component by then is looked for in the shingles.
 
 Shingles have one order for all texts. Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of
-each, so only those are posted, and a pair counts where the sizes and what follows the shared shingle leave room for t. Rare
-shingles come first; what is rare is guessed from a sample of texts, which decides about the time taken, never about the result. Each set also has a bitmap in
+each, so only those are posted, and all that a pair shares there is counted: it stays only if that number and what can still follow
+leave room for t. Rare shingles come first; what is rare is guessed from a sample of texts, which decides about the time taken, never about the result. Each set also has a bitmap in
 which each shingle flips one bit: sets that differ in d shingles differ in at most d bits, so a pair with more differing bits than t
 allows goes before any text is fetched.
-Equal sets are one node. After the fingerprints a round checks pairs at most a bounded number of places apart in each posting list,
-and a last one all pairs that are not in one component by then, so a large group of copies is joined by pairs mostly
-in proportion to its size.
+Equal sets are one node. After the fingerprints a round checks pairs at most a bounded number of places apart in each posting list
+(it may count too few shared shingles and leave a pair to the last round), and a last one counts in whole lists all pairs that are
+not in one component by then, so a large group of copies is joined by pairs mostly in proportion to its size.
 
 Defined cases: words are runs of bytes other than blanks with A-Z lower-cased; a text of fewer words than a shingle is one
 shingle; null and empty texts are one node, similar to nothing else. Shingles are 64-bit hashes, sets are told apart by 128 bits.
@@ -184,7 +184,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(similarity: float, reach: int) -> Callable:
-    """Pairs of nodes of one list and of different components that can be similar, at most `reach` places apart (0: all)."""
+    """Pairs of nodes of one list and of different components, at most `reach` places apart (0: all): how many of these lists they share, and how many similar sets would at least.
+
+    Shared shingles have the same order in both sets, so after the last one counted no more follow than the shorter rest of the two. And of the set whose
+    prefix ends first in the common order, shingles not counted lie behind its prefix: no more than the larger set has there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in whole_groups(batches):
@@ -196,9 +200,13 @@ def _pairs(similarity: float, reach: int) -> Callable:
             left, found, held = np.repeat(size, size), [], 0
 
             def out() -> pa.RecordBatch:
-                x = np.unique(np.concatenate(found), axis=0)
+                a, b, least = (np.concatenate(x) for x in zip(*found, strict=True))
                 found.clear()
-                return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
+                order = np.lexsort((b, a))
+                a, b, least = a[order], b[order], least[order]
+                first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                common = np.diff(np.r_[first, len(a)])
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], common.astype(np.int32), np.maximum.reduceat(least, first).astype(np.int32))], names=["a", "b", "common", "least"])
 
             longest = int(size.max(initial=1))
             for shift in range(1, min(longest, reach + 1) if reach else longest):
@@ -209,14 +217,16 @@ def _pairs(similarity: float, reach: int) -> Callable:
                 s, node, n, pos = ([c[:-shift], c[shift:]] for c in cols[:4])
                 low, high = np.minimum(*n), np.maximum(*n)
                 ok = (s[0] == s[1]) & (low >= similarity * high - _EPS)
-                ok &= np.minimum(n[0] - pos[0], n[1] - pos[1]) >= similarity / (1 + similarity) * (low + high) - _EPS
                 ok &= cols[-1][:-shift] != cols[-1][shift:]
                 at = np.flatnonzero(ok)
                 differ = sum(np.bitwise_count((m[at] ^ m[at + shift]).view(np.uint64)).astype(np.int64) for m in cols[4 : 4 + len(BITS)])
                 at = at[differ <= (1 - similarity) / (1 + similarity) * (low + high)[at] + _EPS]
                 if len(at):
-                    found.append(np.stack([np.minimum(*node)[at], np.maximum(*node)[at]], axis=1))
-                    held += len(found[-1])
+                    need = np.ceil(similarity / (1 + similarity) * (low + high)[at] - _EPS).astype(np.int64)
+                    behind = np.ceil(similarity * high[at] - _EPS).astype(np.int64) - 1
+                    after = np.minimum(n[0] - pos[0], n[1] - pos[1])[at] - 1
+                    found.append((np.minimum(*node)[at], np.maximum(*node)[at], need - np.minimum(behind, after)))
+                    held += len(at)
                 if held > 1 << 20:
                     yield out()
                     held = 0
@@ -356,7 +366,8 @@ def grouped(docs: DataFrame, links: Callable[[DataFrame], DataFrame], doc_id: st
             apart = met.withColumn("component", F.col("node"))
         else:
             apart = met.join(comp, met["node"] == comp["c_node"], "left").select("s", "node", "n", "pos", *BITS, F.coalesce("component", "node").alias("component"))
-        found = apart.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_pairs(similarity, reach), "a long, b long").distinct()
+        found = apart.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_pairs(similarity, reach), "a long, b long, common int, least int")
+        found = found.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("least").alias("least")).where("common >= least").select("a", "b")
         found = cut(found.join(seen, ["a", "b"], "left_anti"))
         if found.isEmpty():
             continue

@@ -362,6 +362,36 @@ def test_near_copies_leave_little_on_disk(spark, monkeypatch):
     assert sorted(x.doc_id for x in simhash.keep_one(d.where("doc_id < 300"), shingle=5, similarity=0.8).collect()) == sorted(set(want.values()))
 
 
+def test_pairs_that_share_too_little_are_not_verified(spark, monkeypatch):
+    r = random.Random(21)
+    passage = [f"p{i}" for i in range(40)]
+
+    def words(n):
+        return [f"u{r.randrange(10**7)}" for _ in range(n)]
+
+    rows = [" ".join([*words(400), *passage, *words(r.randint(300, 460))]) for _ in range(30)]
+    for k in range(0, 24, 2):  # at 0.8 and beside it, by edits and by cutting
+        w = words(300 + 40 * k)
+        rows.append(" ".join(w))
+        for i in r.sample(range(len(w)), len(w) // 45 + k % 5 - 2):
+            w[i] = f"e{r.randrange(10**7)}"
+        rows.append(" ".join(w))
+        w = words(104 + 50 * k)  # 100 + 50 k shingles, of which four fifths make 0.8
+        rows += [" ".join(w), " ".join(w[: 4 + (100 + 50 * k) * 4 // 5 - k % 4 // 2])]
+    rows += [" ".join([*w[: 7 * i], "x", *w[7 * i + 1 :]]) for i in range(30)]  # a group wider than the reach below
+    monkeypatch.setattr(set_similarity, "frequent", lambda *_: set_similarity._NONE)  # so that the passage comes early
+    verified, counts = set_similarity._verified, []
+    monkeypatch.setattr(set_similarity, "_verified", lambda docs, nodes, pairs, *a: counts.append(pairs.count()) or verified(docs, nodes, pairs, *a))
+    want = sorted(set(jaccard_groups(rows).values()))
+    assert 50 < len(want) < len(rows) - 35
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = simhash.keep_one(d.where("doc_id < 30"), shingle=5, similarity=0.8)
+    assert kept.count() == 30 and not sum(counts)
+    for reaches in ((64, 0), (2, 0), (0,)):
+        monkeypatch.setattr(set_similarity, "REACHES", reaches)
+        assert sorted(x.doc_id for x in simhash.keep_one(d, shingle=5, similarity=0.8).collect()) == want
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(1, i) for i in range(200, 400)]
